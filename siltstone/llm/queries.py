@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm.token_counts import op4_token_counts
+from siltstone.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_token_counts]
+    found = [op4_token_counts, op9_toxicity]
     return {f.__name__: f for f in found}
 
 
