@@ -10,8 +10,8 @@ is compressed with either dictionary; the difference in length says which class
 exact to the byte: windows stay under the size from which zstandard entropy-codes literals, and a filler that both
 dictionaries hold stands before each window, so that a block always shrinks and a single match shows.
 
-A logistic curve over (largest difference, mean difference) is fitted to other labelled rows and moved so that 0.3 is
-the cut with the fewest errors on them.
+A logistic curve over (largest difference, mean difference) is fitted to other labelled rows, the calibrating ones, and
+moved so that 0.3 is the cut with the fewest errors on them. They also choose how common a fragment must be.
 """
 
 from __future__ import annotations
@@ -43,10 +43,10 @@ class Settings:
     sampled_ordinary: int = 4000
     calibrating: int = 1000
     fragment: int = 6
-    #: a fragment needs so many documents of its class and so many contexts: one document in 70, 3 to 12
-    least_share: float = 1 / 70
-    least_least: int = 3
-    least_most: int = 12
+    #: a fragment needs so large a share of its class's documents, and as many contexts; fit() takes the best share on
+    #: the calibrating rows
+    least_shares: tuple[float, ...] = (1 / 120, 1 / 60, 1 / 30, 1 / 15)
+    least: int = 3
     least_ratio: float = 6.0
     dictionary_bytes: int = 8192
     longest_run: int = 24
@@ -73,10 +73,10 @@ def _document_counts(texts: Iterable[bytes], k: int) -> Counter:
     return counts
 
 
-def _telling(own: Counter, other: Counter, n_own: int, n_other: int, texts: list[bytes], s: Settings) -> dict[bytes, float]:
+def _telling(own: Counter, other: Counter, n_own: int, n_other: int, texts: list[bytes], share: float, s: Settings) -> dict[bytes, float]:
     """Weights of the fragments that mark a class: log odds times document count."""
     k, chosen = s.fragment, {}
-    least = max(s.least_least, min(s.least_most, round(n_own * s.least_share)))
+    least = max(s.least, round(n_own * share))
     for f, n in own.items():
         if n >= least:
             odds = ((n + 0.5) / n_own) / ((other[f] + 0.5) / n_other)
@@ -188,14 +188,20 @@ def fit(rows: list[tuple[str | None, int]], settings: Settings = Settings()) ->
     cut = lambda rows, most: (rows[: min(most, -(-2 * len(rows) // 3))], rows[min(most, -(-2 * len(rows) // 3)) :] or rows)
     (t_fit, t_rest), (o_fit, o_rest) = cut(toxic, settings.sampled_toxic), cut(ordinary, settings.sampled_ordinary)
     t_count, o_count = _document_counts(t_fit, settings.fragment), _document_counts(o_fit, settings.fragment)
-    t_telling = _telling(t_count, o_count, len(t_fit), len(o_fit), t_fit, settings)
-    o_fit = o_fit[: len(t_fit)]
-    o_telling = _telling(o_count, t_count, len(ordinary), len(t_fit), o_fit, settings)
-    model = Model(_cover(t_fit, t_telling, settings), _cover(o_fit, o_telling, settings), settings=settings)
-    scorer = Scorer(model)
-    x = np.array([scorer.features(t.decode("utf-8", "replace")) for t in [*t_rest, *o_rest]])
+    o_texts = o_fit[: len(t_fit)]
     y = np.array([1.0] * len(t_rest) + [0.0] * len(o_rest))
-    return Model(model.toxic, model.ordinary, _logistic(x, y), settings)
+    best, least_loss = None, math.inf
+    for share in settings.least_shares:
+        t_telling = _telling(t_count, o_count, len(t_fit), len(o_fit), t_fit, share, settings)
+        o_telling = _telling(o_count, t_count, len(o_fit), len(t_fit), o_texts, share, settings)
+        model = Model(_cover(t_fit, t_telling, settings), _cover(o_texts, o_telling, settings), settings=settings)
+        scorer = Scorer(model)
+        x = np.array([scorer.features(t.decode("utf-8", "replace")) for t in [*t_rest, *o_rest]])
+        a, b, c = weights = _logistic(x, y)
+        wrong = float((((a * x[:, 0] + b * x[:, 1] + c) >= math.log(CUT / (1 - CUT))) != (y == 1)).sum())
+        if wrong < least_loss:
+            best, least_loss = Model(model.toxic, model.ordinary, weights, settings), wrong
+    return best
 
 
 def sample(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> list[tuple[str | None, int]]:
