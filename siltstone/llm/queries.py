@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.llm.jaccard_join import op2_jaccard_join
 from siltstone.llm.packing import op6_packing
 from siltstone.llm.token_counts import op4_token_counts
 from siltstone.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_token_counts, op6_packing, op9_toxicity]
+    found = [op2_jaccard_join, op4_token_counts, op6_packing, op9_toxicity]
     return {f.__name__: f for f in found}
 
 
