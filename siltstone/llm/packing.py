@@ -17,6 +17,7 @@ over `blocks` groups.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -38,37 +39,33 @@ class Encoder(dict):
     """White-space-separated chunk -> its ids as bytes, by the tokenizer itself; kept while the Python worker lives.
 
     The tokenizer drops white space, so the ids of a text are those of its chunks. A chunk of plain letters is one
-    pre-token, and its model can be asked directly.
+    pre-token, and its model can be asked directly; marks after it are pre-tokens of their own.
     """
 
-    def __init__(self, path: str, dtype: str, most: int = 1_000_000):
+    def __init__(self, path: str, dtype: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.dtype, self.most = self.tokenizer.model, dtype, most
+        self.tokenize, self.most = self.tokenizer.model.tokenize, most
+        self.pack = struct.Struct("<" + {"<u2": "H", "<u4": "I"}[dtype]).pack
         # the byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in shown]
-        self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}
-        probe = ["idiot", "über", "élan", "thinner", "a"]
-        self.direct = all(self._plain(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
+        self.alphabet = {b: 256 + i for i, b in enumerate(others)}
+        probe = ["idiot", "über", "élan", "thinner", "a", "ið"]
+        self.direct = all([t.id for t in self._plain(w)] == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
 
-    def _plain(self, word: str) -> list[int]:
+    def _plain(self, word: str) -> list:
         if not word.isascii():
-            word = "".join(self.alphabet[b] for b in word.encode())
-        return [token.id for token in self.model.tokenize(word)]
+            word = word.encode().decode("latin-1").translate(self.alphabet)
+        return self.tokenize(word)
 
     def __missing__(self, chunk: str) -> bytes:
-        if not chunk:
-            return b""
         if self.direct and (m := _PLAIN.fullmatch(chunk)):
-            ids = self._plain(m[1])
-            if m[2]:
-                ids = ids + self.tokenizer.encode(m[2], add_special_tokens=False).ids
+            packed = self[m[1]] + self[m[2]] if m[2] else b"".join([self.pack(t.id) for t in self._plain(chunk)])
         else:
-            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        packed = np.array(ids, dtype=self.dtype).tobytes()
-        if len(chunk) <= 100:
+            packed = b"".join(map(self.pack, self.tokenizer.encode(chunk, add_special_tokens=False).ids))
+        if len(chunk) <= 64:
             if len(self) >= self.most:
                 self.clear()
             self[chunk] = packed
@@ -79,7 +76,9 @@ class Encoder(dict):
             return b""
         if "Σ" not in text and "İ" not in text:  # else lower case depends on neighbours or changes the length
             text = text.lower()
-        return b"".join(map(self.__getitem__, _BREAKS.split(text)))
+        # str.split also cuts at four control characters, which the tokenizer keeps
+        odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
+        return b"".join(map(self.__getitem__, filter(None, _BREAKS.split(text)) if odd else text.split()))
 
 
 def encoder(path: str, dtype: str) -> Encoder:
@@ -102,20 +101,17 @@ def packets(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, row = encoder(tokenizer, dtype), TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in (b.slice(i, 100) for b in batches for i in range(0, b.num_rows, 100)):
             out: list[list] = [[] for _ in schema]
-            held = 0
-            for doc_id, text, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            doc_ids, texts, sources = (c.to_pylist() for c in batch.columns)
+            for doc_id, text, source in zip(doc_ids, texts, sources, strict=True):
                 ids = tokens.encode(text) + end
                 n = len(ids) // width
                 for at in range(0, n, length):
                     part = ids[at * width : (at + length) * width]
                     for column, value in zip(out, (doc_id, source, row, at, len(part) // width, n, part), strict=True):
                         column.append(value)
-                row, held = row + 1, held + len(ids)
-                if held > 16_000_000:
-                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
-                    out, held = [[] for _ in schema], 0
+                row += 1
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     spark_schema = "doc_id long, source string, row long, place long, length long, doc_tokens long, ids binary"
