@@ -29,11 +29,23 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table into the shared folder and read it back.
 
     This cuts lineage so that a lost executor costs one step only, and it freezes values that a recomputation might
-    not repeat. Later readers prune its columns.
+    not repeat. Later readers prune its columns. The driver's JVM is asked to collect its garbage, so that shuffle
+    files of the finished step are removed before the next one writes its own.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._kept_at = path
+    return kept
+
+
+def forget(kept: DataFrame) -> None:
+    """Delete a table that keep() wrote and that no later step reads."""
+    spark = kept.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(kept._kept_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

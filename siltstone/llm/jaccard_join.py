@@ -33,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import keep, small_batches, table
+from siltstone.llm.common import forget, keep, small_batches, table
 from siltstone.llm.components import components
 from siltstone.llm.shingles import mix, shingles
 
 #: rows from which a bucket's token counts as frequent; rows from which a bucket is dealt out in blocks
 FREQUENT, LARGE = 128, 2048
+#: bits of a parity bitmap for each token that may differ
+PARITY = 16
 #: bits of the map of frequent tokens: 2 MB, whatever the input
 MAP_BITS = 1 << 24
 #: sets from this level on have frequent classes; smaller ones are indexed by single tokens
@@ -79,7 +81,7 @@ def _features(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int)
                     row = (0, 0, 0, b"", [])
                 else:
                     allowed = 2 * n * (den - num) // (den + num)
-                    bits = min(1 << 16, max(64, 1 << max(0, 8 * allowed - 1).bit_length()))
+                    bits = min(1 << 17, max(64, 1 << max(0, PARITY * allowed - 1).bit_length()))
                     odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
                     row = (n, int(h.sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(h)).view(np.int64)), np.packbits(odd.astype(np.uint8), bitorder="little").tobytes(), h[: _prefix_length(n, num, den)].view(np.int64))
                 for column, value in zip(out, row, strict=True):
@@ -95,16 +97,17 @@ def _plain_rows(batches: Iterator[pa.RecordBatch], num: int, den: int, marked: b
     """Index rows of single tokens in hash order; with a map, only of the sets without any marked token."""
     flags = None if marked is None else np.unpackbits(np.frombuffer(marked, np.uint8), bitorder="little").view(bool)
     for batch in batches:
-        keys, gids = [], []
-        for gid, n, prefix in zip(batch.column("gid").to_pylist(), batch.column("n").to_pylist(), _lists(batch.column("prefix")), strict=True):
+        keys, gids, comps = [], [], []
+        for gid, n, comp, prefix in zip(*(batch.column(c).to_pylist() for c in ("gid", "n", "comp")), _lists(batch.column("prefix")), strict=True):
             for level in _levels(n, num, den):
                 k = _keys(prefix.view(np.uint64), level)
                 if flags is not None and level >= LEAST_LEVEL and flags[_places(k)].any():
                     continue
                 keys.append(k.view(np.int64))
                 gids.append(np.full(len(k), gid, np.int64))
+                comps.append(np.full(len(k), comp, np.int64))
         if keys:
-            yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(gids))], names=["key", "gid"])
+            yield pa.record_batch([pa.array(np.concatenate(c)) for c in (keys, gids, comps)], names=["key", "gid", "comp"])
 
 
 def _marked_sets(batches: Iterator[pa.RecordBatch], num: int, den: int, marked: bytes) -> Iterator[pa.RecordBatch]:
@@ -124,15 +127,16 @@ def _combination_rows(batches: Iterator[pa.RecordBatch], width: int, num: int, d
     """Index rows of sets with frequent tokens: single rare tokens, and pairs of frequent tokens of one class."""
     flags = np.unpackbits(np.frombuffer(marked, np.uint8), bitorder="little").view(bool)
     for batch in batches:
-        gids, levels, at = batch.column("gid").to_pylist(), batch.column("level").to_pylist(), 0
+        gids, comps, levels, at = *(batch.column(c).to_pylist() for c in ("gid", "comp", "level")), 0
         for part in shingles(batch.column("text"), width):
-            keys, owners = [], []
+            keys, owners, their = [], [], []
             for h in part:
                 k = combination_keys(h, levels[at], num, den, flags)
                 keys.append(k.view(np.int64))
                 owners.append(np.full(len(k), gids[at], np.int64))
+                their.append(np.full(len(k), comps[at], np.int64))
                 at += 1
-            yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], names=["key", "gid"])
+            yield pa.record_batch([pa.array(np.concatenate(c)) for c in (keys, owners, their)], names=["key", "gid", "comp"])
 
 
 def combination_keys(h: np.ndarray, level: int, num: int, den: int, flags: np.ndarray) -> np.ndarray:
@@ -216,7 +220,26 @@ def _candidates(batches: Iterator[pa.RecordBatch], num: int, den: int, forest: b
             yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
+def _few(n, gid, comp, parity, num: int, den: int) -> list[np.ndarray]:
+    """_pairs for a handful of rows, by Python's own integers."""
+    rows = sorted(zip(n.tolist(), gid.tolist(), comp.tolist(), (parity[i].as_py() for i in range(len(parity))), strict=True))
+    rows = [(*r[:3], int.from_bytes(r[3], "little"), 8 * len(r[3])) for r in rows]
+    out = []
+    for j, (nj, gj, cj, yj, sj) in enumerate(rows):
+        for ni, gi, ci, x, si in rows[:j]:
+            if ci != cj and nj * num <= ni * den:
+                y, size = yj, sj
+                while size > si:
+                    size //= 2
+                    y = (y ^ (y >> size)) & ((1 << size) - 1)
+                if (x ^ y).bit_count() * (den + num) <= (ni + nj) * (den - num):
+                    out.append((gi, gj))
+    return [np.array(out, np.int64)] if out else []
+
+
 def _pairs(n, gid, comp, block, parity, num: int, den: int, forest: bool) -> list[np.ndarray]:
+    if len(n) <= 6 and block is None:
+        return _few(n, gid, comp, parity, num, den)
     order = np.lexsort((gid, n))
     n, gid, comp = n[order], gid[order], comp[order]
     block = None if block is None else block[order]
@@ -306,28 +329,28 @@ def link(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Data
 
     # 2. the quick round
     least = groups.select(F.explode(F.array_distinct(F.slice("prefix", 1, 2))).alias("key"), "gid", "n", F.col("gid").alias("comp"), "parity")
-    edges = keep(_verify(_meet(least, num, den, forest=True), groups, texts, width, num, den), "links")
+    edges = _verify(_meet(least, num, den, forest=True), groups, texts, width, num, den)
     merged = components(edges)
 
     # 3. the full index
     of = merged.toDF("gid", "root")
-    sized = groups.join(of, "gid", "left").select("gid", "n", "parity", F.coalesce("root", "gid").alias("comp"))
-    single = lambda marked: groups.select("gid", "n", "prefix").mapInArrow(partial(_plain_rows, num=num, den=den, marked=marked), "key long, gid long")
-    comp = sized.select("gid", "comp")
+    sized = groups.join(of, "gid", "left").select("gid", "n", "text", "parity", "prefix", F.coalesce("root", "gid").alias("comp"))
+    single = lambda marked: sized.select("gid", "n", "comp", "prefix").mapInArrow(partial(_plain_rows, num=num, den=den, marked=marked), "key long, gid long, comp long")
     rows = single(None)
-    counted = _mixed(rows, comp)
+    counted = _mixed(rows)
     frequent = counted.where(F.col("rows") > FREQUENT)
     if not frequent.isEmpty():
         marked = _map(frequent)
-        share = spark.sparkContext.broadcast(marked)
-        affected = groups.select("gid", "n", "prefix").mapInArrow(partial(_marked_sets, num=num, den=den, marked=share.value), "gid long, level int")
-        chosen = affected.join(groups.select("gid", "text"), "gid").select("gid", "level", F.col("text.text_id").alias("text_id"), F.col("text.doc_id").alias("rep_id"))
-        found = texts.join(chosen, (texts["text_id"] == chosen["text_id"]) & texts["doc_id"].eqNullSafe(chosen["rep_id"])).select("gid", "level", "text").dropDuplicates(["gid", "level"])
-        combined = found.mapInArrow(partial(_combination_rows, width=width, num=num, den=den, marked=share.value), "key long, gid long")
-        rows = keep(single(share.value).unionAll(combined), "index")
-        counted = _mixed(rows, comp)
-    hits = rows.join(counted.select("key"), "key").join(sized, "gid").select("key", "gid", "n", "comp", "parity")
-    more = keep(_verify(_meet(hits, num, den, forest=False), groups, texts, width, num, den), "links")
+        affected = groups.select("gid", "n", "prefix").mapInArrow(partial(_marked_sets, num=num, den=den, marked=marked), "gid long, level int")
+        affected = keep(affected.join(sized, "gid").select("gid", "level", "comp", "text.text_id", F.col("text.doc_id").alias("rep_id")), "affected")
+        found = _texts(texts, affected).select("gid", "level", "comp", "text").dropDuplicates(["gid", "level"])
+        combined = found.mapInArrow(partial(_combination_rows, width=width, num=num, den=den, marked=marked), "key long, gid long, comp long")
+        rows = keep(single(marked).unionAll(combined), "index")
+        counted = _mixed(rows)
+    # buckets with the same rows are one bucket
+    needed = counted.groupBy("rows", "x", "y").agg(F.min("key").alias("key"))
+    hits = rows.join(needed.select("key"), "key").join(sized.select("gid", "n", "parity"), "gid").select("key", "gid", "n", "comp", "parity")
+    more = _verify(_meet(hits, num, den, forest=False), groups, texts, width, num, den)
 
     # 5. components of documents
     if not more.isEmpty():
@@ -341,10 +364,12 @@ def link(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Data
     )
 
 
-def _mixed(rows: DataFrame, comp: DataFrame) -> DataFrame:
-    """Keys whose rows are of more than one component, and how many rows they have."""
-    counts = rows.join(comp, "gid").groupBy("key").agg(F.count("*").alias("rows"), F.min("comp").alias("x"), F.max("comp").alias("y"))
-    return keep(counts.where("x < y").select("key", "rows"), "keys")
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Keys whose rows are of more than one component: how many rows they have, and two hashes that tell which."""
+    counts = rows.groupBy("key").agg(
+        F.count("*").alias("rows"), F.min("comp").alias("least"), F.max("comp").alias("most"), F.expr("bit_xor(xxhash64(gid))").alias("x"), F.expr("bit_xor(xxhash64(gid, 1))").alias("y")
+    )
+    return keep(counts.where("least < most").select("key", "rows", "x", "y"), "keys")
 
 
 def _map(frequent: DataFrame) -> bytes:
@@ -375,15 +400,35 @@ def _meet(rows: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
     return dealt.mapInArrow(partial(_candidates, num=num, den=den, forest=forest), "a long, b long").distinct()
 
 
+def _texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted(text_id, rep_id, ...) with its texts. A bitmap of the text_ids keeps the other texts out of the shuffle."""
+    bits = 1 << min(27, max(20, (16 * wanted.count()).bit_length()))
+    place = wanted.select(F.expr(f"pmod(text_id, {bits})").alias("place")).distinct()
+    parts = place.groupBy(F.expr("place div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(cast(place % 32768 as bigint))").alias("bits"))
+    bitmap = np.zeros(bits // 8, np.uint8)
+    for r in parts.collect():  # at most 16 MB, whatever the input
+        bitmap[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
+    near = texts.mapInArrow(partial(_sifted, bitmap=bitmap.tobytes()), texts.schema)
+    return near.join(wanted, (near["text_id"] == wanted["text_id"]) & near["doc_id"].eqNullSafe(wanted["rep_id"])).drop(near["text_id"], near["doc_id"])
+
+
+def _sifted(batches: Iterator[pa.RecordBatch], bitmap: bytes) -> Iterator[pa.RecordBatch]:
+    bits = np.frombuffer(bitmap, np.uint8)
+    for batch in batches:
+        place = batch.column("text_id").to_numpy() & np.int64(8 * len(bits) - 1)
+        yield batch.filter(pa.array(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1))
+
+
 def _verify(pairs: DataFrame, groups: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs whose sets are linked, by the texts of the two representatives."""
     pairs = keep(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("gid")).unionAll(pairs.select(F.col("b").alias("gid"))).distinct()
-    wanted = wanted.join(groups.select("gid", "text"), "gid").select("gid", F.col("text.text_id").alias("text_id"), F.col("text.doc_id").alias("rep_id"))
-    found = texts.join(wanted, (texts["text_id"] == wanted["text_id"]) & texts["doc_id"].eqNullSafe(wanted["rep_id"]))
-    found = keep(found.select("gid", "text").dropDuplicates(["gid"]), "texts")
+    wanted = keep(wanted.join(groups.select("gid", "text"), "gid").select("gid", "text.text_id", F.col("text.doc_id").alias("rep_id")), "wanted")
+    found = keep(_texts(texts, wanted).select("gid", "text").dropDuplicates(["gid"]), "texts")
     joined = pairs.join(found.toDF("a", "text_a"), "a").join(found.toDF("b", "text_b"), "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(partial(_verified, width=width, num=num, den=den), "a long, b long")
+    links = keep(joined.select("a", "b", "text_a", "text_b").mapInArrow(partial(_verified, width=width, num=num, den=den), "a long, b long"), "links")
+    forget(found)
+    return links
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
