@@ -15,8 +15,9 @@ Steps, each written to the shared folder:
 3. The full index. Its buckets count only if they hold more than one component. A bucket over `frequent` rows makes its
    token frequent; representatives with such tokens are indexed anew, by token combinations. The order is
    (frequent or not, hash); the flag comes from a bitmap of fixed size, whose false hits only change the order.
-4. In a bucket, the parity bitmaps bound the symmetric difference from below, which discards almost all pairs that
-   aren't links without their texts. Pairs inside one component aren't needed. Large buckets are dealt to block pairs.
+4. In a bucket, parity bitmaps bound the symmetric difference from below, which discards almost all pairs that aren't
+   links without their texts: a folded bitmap in the bucket, the whole one for the pairs left. Pairs inside one
+   component aren't needed. Large buckets are dealt to block pairs.
 5. Surviving pairs are verified exactly on the shingle sets of the two texts; components follow.
 
 A set of size n in [2^L, 2^(L+1)) is indexed at level L, and at L + 1 if a partner may be there; classes and the
@@ -39,8 +40,8 @@ from siltstone.llm.shingles import mix, shingles
 
 #: rows from which a bucket's token counts as frequent; rows from which a bucket is dealt out in blocks
 FREQUENT, LARGE = 128, 2048
-#: bits of a parity bitmap for each token that may differ
-PARITY = 16
+#: bits of a parity bitmap for each token that may differ; bits of its folded form that index rows carry, at most
+PARITY, SMALL = 16, 512
 #: bits of the map of frequent tokens: 2 MB, whatever the input
 MAP_BITS = 1 << 24
 #: sets from this level on have frequent classes; smaller ones are indexed by single tokens
@@ -74,23 +75,24 @@ def _features(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int)
     for batch in batches:
         at = 0
         for part in shingles(batch.column("text"), width):
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for h in part:
                 n = len(h)
                 if not n:
-                    row = (0, 0, 0, b"", [])
+                    row = (0, 0, 0, b"", b"", [])
                 else:
                     allowed = 2 * n * (den - num) // (den + num)
                     bits = min(1 << 17, max(64, 1 << max(0, PARITY * allowed - 1).bit_length()))
                     odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-                    row = (n, int(h.sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(h)).view(np.int64)), np.packbits(odd.astype(np.uint8), bitorder="little").tobytes(), h[: _prefix_length(n, num, den)].view(np.int64))
+                    parity = np.packbits(odd.astype(np.uint8), bitorder="little")
+                    row = (n, int(h.sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(h)).view(np.int64)), parity.tobytes(), _folded(parity, SMALL // 8).tobytes(), h[: _prefix_length(n, num, den)].view(np.int64))
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
             made = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
             own = batch.slice(at, len(part))
             at += len(part)
-            yield pa.record_batch([own.column("doc_id"), own.column("text_id"), *made], names=["doc_id", "text_id", "n", "s1", "s2", "parity", "prefix"])
+            yield pa.record_batch([own.column("doc_id"), own.column("text_id"), *made], names=["doc_id", "text_id", "n", "s1", "s2", "parity", "small", "prefix"])
 
 
 def _plain_rows(batches: Iterator[pa.RecordBatch], num: int, den: int, marked: bytes | None) -> Iterator[pa.RecordBatch]:
@@ -209,7 +211,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], num: int, den: int, forest: b
         ends = np.append(edges[1:], rows.num_rows)
         several = ends - edges > 1
         n, gid, comp, block = (rows.column(c).to_numpy() for c in ("n", "gid", "comp", "block"))
-        parity = rows.column("parity").combine_chunks()
+        parity = rows.column("small").combine_chunks()
         out: list[np.ndarray] = []
         for a, b in zip(edges[several].tolist(), ends[several].tolist(), strict=True):
             cross = key[1][a] != key[2][a]
@@ -279,9 +281,9 @@ def _pairs(n, gid, comp, block, parity, num: int, den: int, forest: bool) -> lis
     return out
 
 
-def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
     """Parities over fewer places: halves are added (xor) until the size fits."""
-    while len(bits) > words:
+    while len(bits) > size:
         half = len(bits) // 2
         bits = bits[:half] ^ bits[half:]
     return bits
@@ -318,23 +320,24 @@ def link(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Data
     sets = keep(
         texts.mapInArrow(
             partial(_features, width=width, num=num, den=den),
-            "doc_id long, text_id long, n long, s1 long, s2 long, parity binary, prefix array<long>",
+            "doc_id long, text_id long, n long, s1 long, s2 long, parity binary, small binary, prefix array<long>",
         ),
         "sets",
     )
     groups = sets.where("n > 0").groupBy("s1", "s2", "n").agg(
-        F.min("doc_id").alias("first_id"), F.min(F.struct("text_id", "doc_id")).alias("text"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix")
+        F.min("doc_id").alias("first_id"), F.min(F.struct("text_id", "doc_id")).alias("text"), F.first("parity").alias("parity"), F.first("small").alias("small"), F.first("prefix").alias("prefix")
     )
     groups = keep(groups.withColumn("gid", F.monotonically_increasing_id()), "groups")
 
     # 2. the quick round
-    least = groups.select(F.explode(F.array_distinct(F.slice("prefix", 1, 2))).alias("key"), "gid", "n", F.col("gid").alias("comp"), "parity")
-    edges = _verify(_meet(least, num, den, forest=True), groups, texts, width, num, den)
+    least = groups.select(F.explode(F.array_distinct(F.slice("prefix", 1, 2))).alias("key"), "gid", "n", F.col("gid").alias("comp"), "small")
+    sizes = least.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
+    edges = _verify(_meet(least.drop("small").join(sizes, "key"), groups, num, den, forest=True), groups, texts, width, num, den)
     merged = components(edges)
 
     # 3. the full index
     of = merged.toDF("gid", "root")
-    sized = groups.join(of, "gid", "left").select("gid", "n", "text", "parity", "prefix", F.coalesce("root", "gid").alias("comp"))
+    sized = groups.join(of, "gid", "left").select("gid", "n", "text", "prefix", F.coalesce("root", "gid").alias("comp"))
     single = lambda marked: sized.select("gid", "n", "comp", "prefix").mapInArrow(partial(_plain_rows, num=num, den=den, marked=marked), "key long, gid long, comp long")
     rows = single(None)
     counted = _mixed(rows)
@@ -348,9 +351,9 @@ def link(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Data
         rows = keep(single(marked).unionAll(combined), "index")
         counted = _mixed(rows)
     # buckets with the same rows are one bucket
-    needed = counted.groupBy("rows", "x", "y").agg(F.min("key").alias("key"))
-    hits = rows.join(needed.select("key"), "key").join(sized.select("gid", "n", "parity"), "gid").select("key", "gid", "n", "comp", "parity")
-    more = _verify(_meet(hits, num, den, forest=False), groups, texts, width, num, den)
+    needed = keep(counted.groupBy("rows", "x", "y").agg(F.min("key").alias("key")).select("key", "rows"), "keys")
+    hits = _sift(rows, "key", needed, "key").join(needed, "key").join(groups.select("gid", "n"), "gid").select("key", "gid", "n", "comp", "rows")
+    more = _verify(_meet(hits, groups, num, den, forest=False), groups, texts, width, num, den)
 
     # 5. components of documents
     if not more.isEmpty():
@@ -382,40 +385,59 @@ def _map(frequent: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def _meet(rows: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
-    """Candidate pairs a < b of rows(key, gid, n, comp, parity), buckets dealt evenly.
+def _meet(dealt: DataFrame, groups: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
+    """Candidate pairs a < b of index rows (key, gid, n, comp, rows: how many the key has), buckets dealt evenly.
 
     A bucket of more than LARGE rows is cut into blocks by a hash of gid. A forest needs no pairs across blocks; else
     each row goes to the block pairs that its own block is part of.
     """
-    sizes = rows.groupBy("key").agg(F.count("*").alias("rows"))
-    dealt = rows.join(sizes.where("rows > 1"), "key")
     blocks = F.ceil(F.col("rows") / LARGE).cast("int")
     dealt = dealt.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int"))
     if forest:
         dealt = dealt.withColumns({"low": F.col("block"), "high": F.col("block")})
     else:
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    dealt = dealt.select("key", "low", "high", "block", "gid", "n", "comp", "parity").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return dealt.mapInArrow(partial(_candidates, num=num, den=den, forest=forest), "a long, b long").distinct()
+    dealt = dealt.select("key", "low", "high", "block", "gid", "n", "comp").join(groups.select("gid", "small"), "gid")
+    dealt = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    pairs = dealt.mapInArrow(partial(_candidates, num=num, den=den, forest=forest), "a long, b long").distinct()
+    whole = groups.select("gid", "n", "parity")
+    both = pairs.join(whole.toDF("a", "n_a", "parity_a"), "a").join(whole.toDF("b", "n_b", "parity_b"), "b")
+    return both.mapInArrow(partial(_narrowed, num=num, den=den), "a long, b long")
 
 
-def _texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted(text_id, rep_id, ...) with its texts. A bitmap of the text_ids keeps the other texts out of the shuffle."""
+def _narrowed(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """The pairs that the whole parity bitmaps can't rule out."""
+    for batch in batches:
+        kept = []
+        for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "parity_a", "parity_b")), strict=True):
+            size = min(len(x), len(y))
+            x, y = (_folded(np.frombuffer(z, np.uint8), size) for z in (x, y))
+            kept.append(int(np.bitwise_count(x ^ y).sum()) * (den + num) <= (n + m) * (den - num))
+        mask = pa.array(kept, pa.bool_())
+        yield pa.record_batch([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+
+
+def _sift(df: DataFrame, column: str, wanted: DataFrame, by: str) -> DataFrame:
+    """Most rows of df whose `column` isn't among wanted's are left out before a join, by a bitmap of bounded size."""
     bits = 1 << min(27, max(20, (16 * wanted.count()).bit_length()))
-    place = wanted.select(F.expr(f"pmod(text_id, {bits})").alias("place")).distinct()
+    place = wanted.select(F.expr(f"pmod({by}, {bits})").alias("place")).distinct()
     parts = place.groupBy(F.expr("place div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(cast(place % 32768 as bigint))").alias("bits"))
     bitmap = np.zeros(bits // 8, np.uint8)
     for r in parts.collect():  # at most 16 MB, whatever the input
         bitmap[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
-    near = texts.mapInArrow(partial(_sifted, bitmap=bitmap.tobytes()), texts.schema)
+    return df.mapInArrow(partial(_sifted, column=column, bitmap=bitmap.tobytes()), df.schema)
+
+
+def _texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted(text_id, rep_id, ...) with its texts."""
+    near = _sift(texts, "text_id", wanted, "text_id")
     return near.join(wanted, (near["text_id"] == wanted["text_id"]) & near["doc_id"].eqNullSafe(wanted["rep_id"])).drop(near["text_id"], near["doc_id"])
 
 
-def _sifted(batches: Iterator[pa.RecordBatch], bitmap: bytes) -> Iterator[pa.RecordBatch]:
+def _sifted(batches: Iterator[pa.RecordBatch], column: str, bitmap: bytes) -> Iterator[pa.RecordBatch]:
     bits = np.frombuffer(bitmap, np.uint8)
     for batch in batches:
-        place = batch.column("text_id").to_numpy() & np.int64(8 * len(bits) - 1)
+        place = batch.column(column).to_numpy() & np.int64(8 * len(bits) - 1)
         yield batch.filter(pa.array(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1))
 
 
