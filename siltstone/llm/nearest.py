@@ -1,10 +1,11 @@
 """Nearest neighbours by inner product: a block matrix join of int8 tiles with exact error bounds.
 
-Vectors are packed into blocks of rows. A tile is a group of candidate blocks against one block of queries. Inside a
-tile both sides are quantised to int8 with one scale a vector; the integer product is exact (float32 sums of integers
+Vectors are packed into blocks of rows. A tile is one block of candidates against one block of queries; a task takes a
+block of queries through a lane of candidate blocks, one at a time. Inside a tile both sides are quantised to int8 with one scale a vector; the integer product is exact (float32 sums of integers
 below 2^24, or float64 beyond), and |x.y - X.Y| <= |X||e_y| + |e_x||Y| + |e_x||e_y| bounds its error, X and Y being the
-quantised vectors and e the remainders. Only pairs whose upper bound reaches the k-th largest lower bound are computed
-again, from the original floats in double precision. Each tile keeps k a query, and those heaps are merged.
+quantised vectors and e the remainders. Only pairs whose upper bound reaches the k-th largest lower bound, and the k-th
+best so far, are computed again, from the original floats in double precision. Each lane keeps a heap of k a query, and
+the lanes' heaps are merged.
 
 The rows shuffled are blocks, not pairs; every query meets every candidate once, and nothing is broadcast.
 """
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import keep, table
 
-#: vectors in a block of candidates, in a block of queries, and candidate blocks in a tile
-CANDIDATES, QUERIES, GROUP = 2048, 512, 8
+#: vectors in a block of candidates, in a block of queries
+CANDIDATES, QUERIES = 2048, 512
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -67,8 +68,11 @@ def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x * y).sum(axis=1)
 
 
-def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query ids, candidate ids and scores: each query's k best of this tile, its own row aside, ties to smaller ids."""
+def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, so_far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """rows of q, candidate ids and scores: what may be among each query's k best, its own id aside.
+
+    so_far: the k-th best score of each query from earlier tiles.
+    """
     order = np.argsort(c_ids, kind="stable")
     c_ids, c = c_ids[order], c[order]
     qq, qs, qn, qe = quantised(q)
@@ -81,26 +85,44 @@ def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
     low = np.where(own, -np.inf, near - slack)
     n = len(c_ids)
     least = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(q), -np.inf)
+    least = np.maximum(least, so_far)
     rows, columns = np.nonzero((near + slack >= least[:, None]) & ~own)
-    scores = _exact(q[rows], c[columns])
-    best = np.lexsort((c_ids[columns], -scores, rows))
-    rows, columns, scores = rows[best], columns[best], scores[best]
-    first = np.searchsorted(rows, np.arange(len(q)))
-    kept = np.arange(len(rows)) - first[rows] < k
-    return q_ids[rows[kept]], c_ids[columns[kept]], scores[kept]
+    return rows, c_ids[columns], _exact(q[rows], c[columns])
+
+
+def _best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row, best first, ties to smaller ids; and each row's k-th score (-inf with fewer)."""
+    order = np.lexsort((ids, -scores, rows))
+    rows, ids, scores = rows[order], ids[order], scores[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, np.arange(n))[rows]
+    kept = place < k
+    last = np.full(n, -np.inf)
+    last[rows[place == k - 1]] = scores[place == k - 1]
+    return rows[kept], ids[kept], scores[kept], last
+
+
+def _lanes(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (lane, asked, kind): a block of queries (kind 0), then its lane of candidate blocks."""
+    state: tuple | None = None
 
+    def finished() -> pa.RecordBatch:
+        q_ids, _, (rows, ids, scores, _) = state
+        return pa.record_batch([pa.array(q_ids[rows]), pa.array(ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
 
-def _tiles(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        names = ("dimension", "q_ids", "q_data", "c_ids", "c_data")
-        for d, qi, qd, ci, cd in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
-            q_ids, q = np.frombuffer(qi, "<i8"), np.frombuffer(qd, "<f8").reshape(-1, d)
-            got = [tile(q_ids, q, np.frombuffer(i, "<i8"), np.frombuffer(x, "<f8").reshape(-1, d), k) for i, x in zip(ci, cd, strict=True)]
-            a, b, s = (np.concatenate(x) for x in zip(*got, strict=True))
-            order = np.lexsort((b, -s, a))  # the blocks' heaps become the tile's
-            a, b, s = a[order], b[order], s[order]
-            kept = np.arange(len(a)) - np.searchsorted(a, a) < k if len(np.unique(q_ids)) == len(q_ids) else np.ones(len(a), bool)
-            yield pa.record_batch([pa.array(a[kept]), pa.array(b[kept]), pa.array(s[kept])], names=["query_id", "vec_id", "score"])
+        for kind, d, i, x in zip(*(batch.column(c).to_pylist() for c in ("kind", "dimension", "ids", "data")), strict=True):
+            ids, data = np.frombuffer(i, "<i8"), np.frombuffer(x, "<f8").reshape(-1, d)
+            if kind == 0:
+                if state is not None:
+                    yield finished()
+                none = np.zeros(0, np.int64)
+                state = ids, data, (none, none, np.zeros(0), np.full(len(ids), -np.inf))
+            else:
+                q_ids, q, held = state
+                got = tile(q_ids, q, ids, data, k, held[3])
+                state = q_ids, q, _best(*(np.concatenate(pair) for pair in zip(held[:3], got, strict=True)), len(q_ids), k)
+    if state is not None:
+        yield finished()
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
@@ -119,17 +141,23 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     asked = usable.where("is_query").select("vec_id", "embedding").mapInArrow(partial(_blocks, size=QUERIES), schema)
     blocks = keep(blocks, "candidates")
     asked = keep(asked, "queries")
-    # candidate blocks in groups; a group meets a block of queries in one tile
-    groups = blocks.withColumn("turn", F.row_number().over(Window.partitionBy("dimension", F.pmod(F.xxhash64("block"), F.lit(64))).orderBy("block")))
-    groups = groups.select("dimension", F.pmod(F.xxhash64("block"), F.lit(64)).alias("lane"), F.expr(f"(turn - 1) div {GROUP}").alias("turn"), "ids", "data")
-    groups = groups.groupBy("dimension", "lane", "turn").agg(F.collect_list("ids").alias("c_ids"), F.collect_list("data").alias("c_data"))
-    tiles = groups.join(asked.select("dimension", "block", F.col("ids").alias("q_ids"), F.col("data").alias("q_data")).hint("shuffle_hash"), "dimension")
-    tiles = tiles.repartition("lane", "turn", "block")
+    # so many lanes that all cores have work; with many blocks of queries one lane is enough
+    place = Window.partitionBy("dimension").orderBy("block")
+    sizes = {r.dimension: r.n for r in asked.groupBy("dimension").agg(F.count("*").alias("n")).collect()}  # a count a dimension
+    known = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]) if sizes else F.create_map().cast("map<bigint,bigint>")
+    n_asked = F.coalesce(F.try_element_at(known, F.col("dimension")), F.lit(0).cast("long"))
+    n_lanes = F.ceil(2 * spark.sparkContext.defaultParallelism / n_asked)
+    numbers = asked.select("dimension", "block").withColumn("asked", F.row_number().over(place).cast("long") - 1)
+    asked = asked.join(numbers, ["dimension", "block"]).withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), n_lanes - 1)))
+    met = blocks.where(n_asked > 0).withColumn("lane", F.pmod(F.xxhash64("block"), n_lanes)).withColumn("asked", F.explode(F.sequence(F.lit(0).cast("long"), n_asked - 1)))
+    rows = [x.select("dimension", "lane", "asked", F.lit(kind).alias("kind"), "ids", "data") for kind, x in enumerate((asked, met))]
+    order = ["dimension", "lane", "asked"]
+    tiles = rows[0].unionByName(rows[1]).repartition(*order).sortWithinPartitions(*order, "kind")
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(batch)
-    spark.conf.set(batch, "4")  # a row is a tile of some megabytes
+    spark.conf.set(batch, "4")  # a row is a block of a megabyte or so
     try:
-        found = keep(tiles.select("dimension", "q_ids", "q_data", "c_ids", "c_data").mapInArrow(partial(_tiles, k=k), "query_id long, vec_id long, score double"), "heaps")
+        found = keep(tiles.select("kind", "dimension", "ids", "data").mapInArrow(partial(_lanes, k=k), "query_id long, vec_id long, score double"), "heaps")
     finally:
         spark.conf.set(batch, before)
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
