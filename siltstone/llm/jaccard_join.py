@@ -304,7 +304,10 @@ def _verified(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int)
 
 
 def link(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs(doc_id, text, ...): links are den * |x & y| >= num * |x | y|.
+    """doc_id, n_shingles, component_id, text_id, is_first for each row of docs(doc_id, text, ...).
+
+    Two rows link when den * |x & y| >= num * |x | y|. text_id is xxhash64(doc_id, text) with null texts empty; is_first
+    marks the rows of one text_id in each component, those of its least doc_id.
 
     Null, empty and blank texts have no shingles, no links, and are their own component. A text with fewer words than
     `width` has one shingle, its whole sequence. Repeated rows are kept, each with the same component. component_id is
@@ -325,7 +328,7 @@ def link(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Data
         "sets",
     )
     groups = sets.where("n > 0").groupBy("s1", "s2", "n").agg(
-        F.min("doc_id").alias("first_id"), F.min(F.struct("text_id", "doc_id")).alias("text"), F.first("parity").alias("parity"), F.first("small").alias("small"), F.first("prefix").alias("prefix")
+        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_id")).alias("text"), F.first("parity").alias("parity"), F.first("small").alias("small"), F.first("prefix").alias("prefix")
     )
     groups = keep(groups.withColumn("gid", F.monotonically_increasing_id()), "groups")
 
@@ -359,11 +362,15 @@ def link(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Data
     if not more.isEmpty():
         merged = components(edges.unionAll(more))
     of = merged.toDF("gid", "root")
-    ids = groups.join(of, "gid", "left").select("s1", "s2", "n", "first_id", F.coalesce("root", "gid").alias("root"))
-    least_ids = ids.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    ids = ids.join(least_ids, "root").select("s1", "s2", "n", "least_id")
-    return sets.select("doc_id", "n", "s1", "s2").join(ids, ["s1", "s2", "n"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least_id")).otherwise(F.col("doc_id")).alias("component_id")
+    ids = groups.join(of, "gid", "left").select("s1", "s2", "n", "text", F.coalesce("root", "gid").alias("root"))
+    least_ids = ids.groupBy("root").agg(F.min("text").alias("least"))
+    ids = ids.join(least_ids, "root").select("s1", "s2", "n", "least")
+    return sets.select("doc_id", "text_id", "n", "s1", "s2").join(ids, ["s1", "s2", "n"], "left").select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "text_id",
+        ((F.col("n") == 0) | (F.col("text_id") == F.col("least.text_id"))).alias("is_first"),
     )
 
 
@@ -454,4 +461,4 @@ def _verify(pairs: DataFrame, groups: DataFrame, texts: DataFrame, width: int, n
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+    return link(table(spark, sf_dir, "documents"), width=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
