@@ -13,8 +13,7 @@ Steps, each written to the shared folder:
 2. A quick round joins representatives on their two least tokens and verifies a spanning forest; most groups of near
    copies are one component after it.
 3. The full index. Its buckets count only if they hold more than one component. A bucket over `frequent` rows makes its
-   token frequent; representatives with such tokens are indexed anew, by token combinations. The order is
-   (frequent or not, hash); the flag comes from a bitmap of fixed size, whose false hits only change the order.
+   token frequent, and the index is made anew with token combinations. The order is (frequent or not, hash); the flag comes from a bitmap of fixed size, whose false hits only change the order.
 4. In a bucket, parity bitmaps bound the symmetric difference from below, which discards almost all pairs that aren't
    links without their texts: a folded bitmap in the bucket, the whole one for the pairs left. Pairs inside one
    component aren't needed. Large buckets are dealt to block pairs.
@@ -42,6 +41,8 @@ from siltstone.llm.shingles import mix, shingles
 FREQUENT, LARGE = 128, 2048
 #: bits of a parity bitmap for each token that may differ; bits of its folded form that index rows carry, at most
 PARITY, SMALL = 16, 512
+#: the first pass keeps so many times the plain prefix, so that few sets need their texts again
+EXTENDED = 2
 #: bits of the map of frequent tokens: 2 MB, whatever the input
 MAP_BITS = 1 << 24
 #: sets from this level on have frequent classes; smaller ones are indexed by single tokens
@@ -85,7 +86,7 @@ def _features(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int)
                     bits = min(1 << 17, max(64, 1 << max(0, PARITY * allowed - 1).bit_length()))
                     odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
                     parity = np.packbits(odd.astype(np.uint8), bitorder="little")
-                    row = (n, int(h.sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(h)).view(np.int64)), parity.tobytes(), _folded(parity, SMALL // 8).tobytes(), h[: _prefix_length(n, num, den)].view(np.int64))
+                    row = (n, int(h.sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(h)).view(np.int64)), parity.tobytes(), _folded(parity, SMALL // 8).tobytes(), h[: EXTENDED * _prefix_length(n, num, den)].view(np.int64))
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
@@ -95,32 +96,43 @@ def _features(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int)
             yield pa.record_batch([own.column("doc_id"), own.column("text_id"), *made], names=["doc_id", "text_id", "n", "s1", "s2", "parity", "small", "prefix"])
 
 
+def _marked_keys(prefix: np.ndarray, n: int, level: int, num: int, den: int, flags: np.ndarray | None) -> np.ndarray | None:
+    """A set's keys at a level from the start of its tokens; None if that start has too few rare tokens."""
+    need = _prefix_length(n, num, den)
+    if flags is None or level < LEAST_LEVEL:
+        return _keys(prefix[:need], level)
+    if len(prefix) == n:
+        return combination_keys(prefix, level, num, den, flags)
+    keys = _keys(prefix, level)
+    rare = keys[~flags[_places(keys)]][:need]
+    return rare if len(rare) == need else None
+
+
 def _plain_rows(batches: Iterator[pa.RecordBatch], num: int, den: int, marked: bytes | None) -> Iterator[pa.RecordBatch]:
-    """Index rows of single tokens in hash order; with a map, only of the sets without any marked token."""
+    """Index rows of the sets whose kept tokens are enough: in hash order, or with a map the rare tokens first."""
     flags = None if marked is None else np.unpackbits(np.frombuffer(marked, np.uint8), bitorder="little").view(bool)
     for batch in batches:
         keys, gids, comps = [], [], []
         for gid, n, comp, prefix in zip(*(batch.column(c).to_pylist() for c in ("gid", "n", "comp")), _lists(batch.column("prefix")), strict=True):
             for level in _levels(n, num, den):
-                k = _keys(prefix.view(np.uint64), level)
-                if flags is not None and level >= LEAST_LEVEL and flags[_places(k)].any():
-                    continue
-                keys.append(k.view(np.int64))
-                gids.append(np.full(len(k), gid, np.int64))
-                comps.append(np.full(len(k), comp, np.int64))
+                k = _marked_keys(prefix.view(np.uint64), n, level, num, den, flags)
+                if k is not None:
+                    keys.append(k.view(np.int64))
+                    gids.append(np.full(len(k), gid, np.int64))
+                    comps.append(np.full(len(k), comp, np.int64))
         if keys:
             yield pa.record_batch([pa.array(np.concatenate(c)) for c in (keys, gids, comps)], names=["key", "gid", "comp"])
 
 
-def _marked_sets(batches: Iterator[pa.RecordBatch], num: int, den: int, marked: bytes) -> Iterator[pa.RecordBatch]:
-    """gid, level of the sets that have a marked token in their prefix."""
+def _wanting_sets(batches: Iterator[pa.RecordBatch], num: int, den: int, marked: bytes) -> Iterator[pa.RecordBatch]:
+    """gid, level of the sets whose kept tokens are too few: they need their texts."""
     flags = np.unpackbits(np.frombuffer(marked, np.uint8), bitorder="little").view(bool)
     for batch in batches:
         found = [
             (gid, level)
             for gid, n, prefix in zip(batch.column("gid").to_pylist(), batch.column("n").to_pylist(), _lists(batch.column("prefix")), strict=True)
             for level in _levels(n, num, den)
-            if level >= LEAST_LEVEL and flags[_places(_keys(prefix.view(np.uint64), level))].any()
+            if _marked_keys(prefix.view(np.uint64), n, level, num, den, flags) is None
         ]
         yield pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int32())], names=["gid", "level"])
 
@@ -347,9 +359,9 @@ def link(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Data
     frequent = counted.where(F.col("rows") > FREQUENT)
     if not frequent.isEmpty():
         marked = _map(frequent)
-        affected = groups.select("gid", "n", "prefix").mapInArrow(partial(_marked_sets, num=num, den=den, marked=marked), "gid long, level int")
+        affected = groups.select("gid", "n", "prefix").mapInArrow(partial(_wanting_sets, num=num, den=den, marked=marked), "gid long, level int")
         affected = keep(affected.join(sized, "gid").select("gid", "level", "comp", "text.text_id", F.col("text.doc_id").alias("rep_id")), "affected")
-        found = _texts(texts, affected).select("gid", "level", "comp", "text").dropDuplicates(["gid", "level"])
+        found = _texts(texts, affected).select("gid", "level", "comp", "text")
         combined = found.mapInArrow(partial(_combination_rows, width=width, num=num, den=den, marked=marked), "key long, gid long, comp long")
         rows = keep(single(marked).unionAll(combined), "index")
         counted = _mixed(rows)
@@ -438,7 +450,9 @@ def _sift(df: DataFrame, column: str, wanted: DataFrame, by: str) -> DataFrame:
 def _texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted(text_id, rep_id, ...) with its texts."""
     near = _sift(texts, "text_id", wanted, "text_id")
-    return near.join(wanted, (near["text_id"] == wanted["text_id"]) & near["doc_id"].eqNullSafe(wanted["rep_id"])).drop(near["text_id"], near["doc_id"])
+    # the ids are compared as a residue, not a key: the rows stay dealt out by text_id alone
+    same = F.size(F.array_intersect(F.array(near["doc_id"]), F.array(wanted["rep_id"]))) == 1
+    return near.join(wanted, "text_id").where(same).drop("doc_id")
 
 
 def _sifted(batches: Iterator[pa.RecordBatch], column: str, bitmap: bytes) -> Iterator[pa.RecordBatch]:
@@ -453,7 +467,7 @@ def _verify(pairs: DataFrame, groups: DataFrame, texts: DataFrame, width: int, n
     pairs = keep(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("gid")).unionAll(pairs.select(F.col("b").alias("gid"))).distinct()
     wanted = keep(wanted.join(groups.select("gid", "text"), "gid").select("gid", "text.text_id", F.col("text.doc_id").alias("rep_id")), "wanted")
-    found = keep(_texts(texts, wanted).select("gid", "text").dropDuplicates(["gid"]), "texts")
+    found = keep(_texts(texts, wanted).dropDuplicates(["text_id", "gid"]).select("gid", "text"), "texts")
     joined = pairs.join(found.toDF("a", "text_a"), "a").join(found.toDF("b", "text_b"), "b")
     links = keep(joined.select("a", "b", "text_a", "text_b").mapInArrow(partial(_verified, width=width, num=num, den=den), "a long, b long"), "links")
     forget(found)
