@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_folder: str | None = None
 
@@ -53,3 +58,37 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
+
+
+def _sifted(batches: Iterator[pa.RecordBatch], bitmap: bytes, hit: bool) -> Iterator[pa.RecordBatch]:
+    bits = np.frombuffer(bitmap, np.uint8)
+    for batch in batches:
+        place = batch.column(batch.num_columns - 1).to_numpy()
+        mask = (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1) == hit
+        yield batch.select(range(batch.num_columns - 1)).filter(pa.array(mask))
+
+
+def bitmap_of(wanted: DataFrame, key: Column) -> bytes:
+    """A bit for each key (a bigint without nulls), at the key modulo the map's size: 128 KB to 16 MB, whatever the input."""
+    bits = 1 << min(27, max(20, (16 * wanted.count()).bit_length()))
+    place = wanted.select(F.pmod(key, F.lit(bits)).alias("place")).distinct()
+    parts = place.groupBy(F.expr("place div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(cast(place % 32768 as bigint))").alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in parts.collect():
+        out[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out.tobytes()
+
+
+def sift(df: DataFrame, key: Column, bitmap: bytes, hit: bool = True) -> DataFrame:
+    """Rows of df whose key has its bit set (or not): what a join on that key needs, and a few more. Nothing is shuffled."""
+    placed = df.withColumn("_place", F.pmod(key, F.lit(8 * len(bitmap))))
+    return placed.mapInArrow(partial(_sifted, bitmap=bitmap, hit=hit), df.schema)
+
+
+def without(df: DataFrame, column: str, bad: DataFrame) -> DataFrame:
+    """df without the rows whose `column` (null or not) is in bad's: an anti join that shuffles hardly more than it drops."""
+    key = F.xxhash64(column)
+    bitmap = bitmap_of(bad, key)
+    near, bad = sift(df, key, bitmap), bad.select(F.col(column).alias("_bad"))
+    left = near.join(bad.hint("shuffle_hash"), near[column].eqNullSafe(bad["_bad"]), "left_anti")
+    return sift(df, key, bitmap, hit=False).unionByName(left)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import keep, table
+from siltstone.llm.common import keep, table, without
 
 WIDTH, NUM, DEN = 5, 80, 100
 
@@ -80,8 +80,7 @@ def leaks(docs: DataFrame, items: DataFrame, num: int = NUM, den: int = DEN, mos
 
 def clean(docs: DataFrame, items: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """docs without those that leak an item."""
-    bad = leaks(docs, items, num, den).select(F.col("doc_id").alias("leaking")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["leaking"]), "left_anti")
+    return without(docs, "doc_id", keep(leaks(docs, items, num, den).select("doc_id").distinct(), "leaking"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

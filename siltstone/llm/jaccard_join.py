@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import forget, keep, small_batches, table
+from siltstone.llm.common import bitmap_of, forget, keep, sift, small_batches, table
 from siltstone.llm.components import components
 from siltstone.llm.shingles import mix, shingles
 
@@ -367,7 +367,7 @@ def link(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Data
         counted = _mixed(rows)
     # buckets with the same rows are one bucket
     needed = keep(counted.groupBy("rows", "x", "y").agg(F.min("key").alias("key")).select("key", "rows"), "keys")
-    hits = _sift(rows, "key", needed, "key").join(needed, "key").join(groups.select("gid", "n"), "gid").select("key", "gid", "n", "comp", "rows")
+    hits = sift(rows, F.col("key"), bitmap_of(needed, F.col("key"))).join(needed, "key").join(groups.select("gid", "n"), "gid").select("key", "gid", "n", "comp", "rows")
     more = _verify(_meet(hits, groups, num, den, forest=False), groups, texts, width, num, den)
 
     # 5. components of documents
@@ -436,32 +436,15 @@ def _narrowed(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator
         yield pa.record_batch([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
 
-def _sift(df: DataFrame, column: str, wanted: DataFrame, by: str) -> DataFrame:
-    """Most rows of df whose `column` isn't among wanted's are left out before a join, by a bitmap of bounded size."""
-    bits = 1 << min(27, max(20, (16 * wanted.count()).bit_length()))
-    place = wanted.select(F.expr(f"pmod({by}, {bits})").alias("place")).distinct()
-    parts = place.groupBy(F.expr("place div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(cast(place % 32768 as bigint))").alias("bits"))
-    bitmap = np.zeros(bits // 8, np.uint8)
-    for r in parts.collect():  # at most 16 MB, whatever the input
-        bitmap[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
-    return df.mapInArrow(partial(_sifted, column=column, bitmap=bitmap.tobytes()), df.schema)
-
-
 def _texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted(text_id, rep_id, ...) with its texts."""
-    near = _sift(texts, "text_id", wanted, "text_id")
+    key = F.col("text_id")
+    near = sift(texts, key, bitmap_of(wanted, key))
     # the ids are compared as a residue, not a key: the rows stay dealt out by text_id alone
     same = F.size(F.array_intersect(F.array(near["doc_id"]), F.array(wanted["rep_id"]))) == 1
     return near.join(wanted, "text_id").where(same).drop("doc_id")
 
 
-def _sifted(batches: Iterator[pa.RecordBatch], column: str, bitmap: bytes) -> Iterator[pa.RecordBatch]:
-    bits = np.frombuffer(bitmap, np.uint8)
-    for batch in batches:
-        place = batch.column(column).to_numpy() & np.int64(8 * len(bits) - 1)
-        yield batch.filter(pa.array(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1))
-
-
 def _verify(pairs: DataFrame, groups: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs whose sets are linked, by the texts of the two representatives."""
     pairs = keep(pairs, "pairs")

@@ -21,19 +21,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import forget, keep, small_batches, table
+from siltstone.llm.common import bitmap_of, forget, keep, sift, small_batches, table
 
 SIZE, ORDER = 64, 4
 BORDER, OTHER = 0, 1
+#: bands of so many languages are broadcast; beyond, they are joined by a shuffle
+MOST_TONGUES = 10_000
 
 
 @dataclass(frozen=True)
 class Band:
     """Quantiles of trusted perplexity by language, and the factors by which the band is wider."""
 
-    low: float = 0.005
-    high: float = 0.995
-    margin: float = 1.15
+    low: float = 0.02
+    high: float = 0.98
+    margin: float = 1.35
     #: shorter texts (characters) say too little to be rejected
     least_chars: int = 64
     #: a language with fewer trusted documents uses the quantiles of all languages
@@ -205,14 +207,18 @@ def grade(docs: DataFrame, labels: DataFrame, band: Band = Band()) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    trusted = keep(docs.select("doc_id", "text", "lang").join(good, "doc_id", "left_semi").select("text", "lang").where("text <> ''"), "trusted")
+    near = sift(docs.select("doc_id", "text", "lang").where("doc_id is not null and text <> ''"), F.col("doc_id").cast("long"), bitmap_of(good, F.col("doc_id").cast("long")))
+    trusted = keep(near.join(good.hint("shuffle_hash"), "doc_id", "left_semi").select("text", "lang"), "trusted")
     model = train(trusted)
     own = keep(trusted.select(perplexity(F.col("text"), model, spark).alias("p"), F.coalesce("lang", F.lit("")).alias("tongue")), "trusted_perplexity")
     forget(trusted)
     edges = F.percentile_approx("p", [band.low, band.high], band.accuracy)
     whole = own.agg(edges.alias("q")).first().q or [0.0, float("inf")]
     low, high = F.col("q")[0] / band.margin, F.col("q")[1] * band.margin
-    by_tongue = own.groupBy("tongue").agg(edges.alias("q"), F.count("*").alias("n")).where(F.col("n") >= band.least).select("tongue", low.alias("own_low"), high.alias("own_high"))
+    by_tongue = own.groupBy("tongue").agg(edges.alias("q"), F.count("*").alias("n")).where(F.col("n") >= band.least)
+    by_tongue = keep(by_tongue.select("tongue", low.alias("own_low"), high.alias("own_high")), "bands")
+    if by_tongue.count() <= MOST_TONGUES:
+        by_tongue = F.broadcast(by_tongue)
     base = docs.drop("perplexity", "low", "high", "keep", "tongue")
     graded = base.withColumn("tongue", F.coalesce("lang", F.lit(""))).join(by_tongue, "tongue", "left")
     graded = graded.withColumns({"perplexity": perplexity(F.col("text"), model, spark), "low": F.coalesce("own_low", F.lit(whole[0] / band.margin)), "high": F.coalesce("own_high", F.lit(whole[1] * band.margin))})
