@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import decontamination, jaccard_join, packing, quality, toxicity
-from siltstone.llm.common import keep, small_batches, table
+from siltstone.llm.common import keep, small_batches, table, without
 
 #: near duplicates: word shingles of five, a similarity of at least 0.8
 WIDTH, NUM, DEN = 5, 80, 100
@@ -33,13 +33,13 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one of the least id. Rows equal in id and text count as copies."""
     linked = keep(jaccard_join.link(docs, WIDTH, NUM, DEN).select("text_id", "is_first"), "linked")
-    copies = linked.where(~F.col("is_first")).select(F.col("text_id").alias("copy")).distinct()
+    copies = linked.where(~F.col("is_first")).select("text_id").distinct()
     known = docs.withColumn("text_id", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    one = known.join(copies, known["text_id"] == copies["copy"], "left_anti")
-    repeated = linked.where("is_first").groupBy("text_id").count().where("count > 1").select(F.col("text_id").alias("again"))
+    one = without(known, "text_id", copies)
+    repeated = keep(linked.where("is_first").groupBy("text_id").count().where("count > 1").select("text_id"), "repeated")
     if not repeated.isEmpty():
-        again = one.join(repeated, one["text_id"] == repeated["again"], "left_semi").dropDuplicates(["text_id"])
-        one = one.join(repeated, one["text_id"] == repeated["again"], "left_anti").unionByName(again)
+        again = one.join(repeated, "text_id", "left_semi").dropDuplicates(["text_id"])
+        one = without(one, "text_id", repeated).unionByName(again)
     return one.select(*docs.columns)
 
 
