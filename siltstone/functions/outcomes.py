@@ -179,4 +179,4 @@ def structural_bin(depth: Column, nodes: Column, branches: Column, variables: Co
 def extracted_code(text: Column) -> Column:
     """The first fenced block of a model's answer, else the answer trimmed."""
     block = F.regexp_extract(text, r"(?s)```(?:\w+)?\n(.*?)```", 1)
-    return F.when(block != "", F.trim(block)).otherwise(F.trim(text))
+    return F.regexp_replace(F.when(block != "", block).otherwise(text), r"^\s+|\s+$", "")
