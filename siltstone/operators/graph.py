@@ -208,3 +208,58 @@ def fiedler_partition(nodes: DataFrame, edges: DataFrame, least: int = 3, deepes
 def to_dot(edges: DataFrame) -> DataFrame:
     """One dot line an edge."""
     return edges.select(F.format_string('  "%s" -> "%s";', F.col("src").cast("string"), F.col("dst").cast("string")).alias("line"))
+
+
+def hierarchy(nodes: DataFrame, edges: DataFrame, deepest: int = 10, least: int = 3) -> DataFrame:
+    """level, grp, id, operation: strong components are condensed, then their graph is partitioned, and so on.
+
+    Even levels condense, odd levels bisect; each level's groups hold the original ids. It ends when a level leaves
+    the groups as they were.
+    """
+    member = settle(nodes.select("id", F.col("id").cast("string").alias("grp")))
+    e = settle(edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "confidence"))
+    out, before = None, member.count()
+    for depth in range(deepest):
+        units = member.select(F.col("grp").alias("id")).distinct()
+        if depth % 2 == 0:
+            of = strong_components(units, e).select(F.col("id").alias("unit"), F.col("scc").alias("into"))
+        else:
+            cut = fiedler_partition(units, e, least=least, deepest=1)
+            of = units.select(F.col("id").alias("unit")).join(cut.select(F.col("id").alias("u"), F.concat_ws("/", "component", "path").alias("p")), F.col("unit") == F.col("u"), "left").select("unit", F.coalesce("p", "unit").alias("into"))
+        of = settle(of)
+        member = settle(member.join(of, F.col("grp") == F.col("unit")).select("id", F.col("into").alias("grp")))
+        a, b = of.toDF("s", "si"), of.toDF("d", "di")
+        e = settle(e.join(a, F.col("src") == F.col("s")).join(b, F.col("dst") == F.col("d")).where("si <> di").select(F.col("si").alias("src"), F.col("di").alias("dst"), "confidence"))
+        level = member.select(F.lit(depth).alias("level"), "grp", "id", F.lit("condense" if depth % 2 == 0 else "partition").alias("operation"))
+        out = level if out is None else out.unionByName(level)
+        now = member.select("grp").distinct().count()
+        if depth and now == before or now <= 1:
+            break
+        before = now
+    return out
+
+
+def augmented(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """edges(src, dst) inside each part of members(id, part), with a virtual source and sink for its entries and exits.
+
+    A part without entries (or exits) is entered (or left) at every member.
+    """
+    a, b = members.toDF("s", "sp"), members.toDF("d", "dp")
+    inside = edges.join(a, F.col("src") == F.col("s")).join(b, F.col("dst") == F.col("d")).where("sp = dp").select(F.col("sp").alias("part"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
+    flags = entry_exit(edges, members)
+    some = flags.groupBy("part").agg(F.bool_or("is_entry").alias("some_entry"), F.bool_or("is_exit").alias("some_exit"))
+    flags = flags.join(some, "part").select("part", F.col("id").cast("string").alias("id"), (F.col("is_entry") | ~F.col("some_entry")).alias("enters"), (F.col("is_exit") | ~F.col("some_exit")).alias("leaves"))
+    mark = lambda kind: F.concat(F.lit(f"__{kind}_"), F.col("part").cast("string"))
+    into = flags.where("enters").select("part", mark("source").alias("src"), F.col("id").alias("dst"))
+    away = flags.where("leaves").select("part", F.col("id").alias("src"), mark("sink").alias("dst"))
+    return inside.unionByName(into).unionByName(away)
+
+
+def maybe_planar(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """component, n, m, verdict: nonplanar where m > 3n - 6, planar up to four nodes or for forests, else unknown."""
+    of = components(nodes, edges)
+    pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    m = pairs.join(of, F.col("a") == F.col("id")).groupBy("component").agg(F.count("*").alias("m"))
+    n = of.groupBy("component").agg(F.count("*").alias("n")).join(m, "component", "left").fillna(0, ["m"])
+    verdict = F.when((F.col("n") <= 4) | (F.col("m") < F.col("n")), "planar").when(F.col("m") > 3 * F.col("n") - 6, "nonplanar").otherwise("unknown")
+    return n.withColumn("verdict", verdict)

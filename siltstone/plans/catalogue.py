@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import outcomes as o
+from siltstone.functions import programs
 from siltstone.functions import regions as r
-from siltstone.operators import beliefs, graph, mutation, synthesis, tables, vectors
+from siltstone.operators import beliefs, graph, mutation, synthesis, tables, vectors, verification
 from siltstone.sources import code
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -663,6 +664,35 @@ def import_edges(b):
     return found.select("path", F.concat_ws(".", module, "name").alias("target"), module.alias("module"), F.col("level").alias("lvl"))
 
 
+@query("select c_custkey as request, case when c_custkey % 50 + 1 > c_custkey % 60 - 1 then 'no_ce' else 'counterexample' end as status, case when c_custkey % 50 + 1 > c_custkey % 60 - 1 then '' else 'x=' || (c_custkey % 50 + 1) end as model from customer")
+def bounded_verification(b):
+    k = F.col("c_custkey")
+    limits = F.array(F.concat(F.lit("x > "), k % 50), F.concat(F.lit("x < "), k % 60))
+    return verification.solve(b.customer.select(k.alias("request"), limits.alias("constraints"))).select("request", "status", "model")
+
+
+@query("select p_partkey, p_size % 2 = 0 as is_valid, case when p_size % 2 = 0 then '1-0-0-0' else '0-0-0-0' end as bin from part")
+def program_features(b):
+    text = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("x = "), "p_size")).otherwise("def f(:")
+    rows = b.part.select("p_partkey", programs.features(text).alias("f"))
+    return rows.select("p_partkey", "f.is_valid", o.structural_bin(F.col("f.ast_depth") + F.when(F.col("f.is_valid"), 1).otherwise(0), F.col("f.node_count"), F.col("f.branch_count"), F.col("f.var_count")).alias("bin"))
+
+
+@query(f"{_with('pairs', 'g', 'nodes')}, i as (select * from g where src % 14 = dst % 14), e as (select * from i where src <> dst), f as (select id % 14 as part, id, id not in (select dst from e) as enters, id not in (select src from e) as leaves from nodes), s as (select part, bool_or(enters) as some_entry, bool_or(leaves) as some_exit from f group by part) select src % 14 as part, src::varchar as src, dst::varchar as dst from i union all select part, '__source_' || part, id::varchar from f join s using (part) where enters or not some_entry union all select part, id::varchar, '__sink_' || part from f join s using (part) where leaves or not some_exit")
+def augmented_graph(b):
+    return graph.augmented(b.g, b.g_nodes.select("id", (F.col("id") % 14).alias("part")))
+
+
+@query(f"{_COMP}, n as (select component, count(*) as n from k group by component), p as (select distinct least(src, dst) as a, greatest(src, dst) as b from g where src <> dst), m as (select component, count(*) as m from p join k on p.a = k.id group by component) select component, n, coalesce(m, 0) as m, case when n <= 4 or coalesce(m, 0) < n then 'planar' when m > 3 * n - 6 then 'nonplanar' else 'unknown' end as verdict from n left join m using (component)")
+def planarity_bound(b):
+    return graph.maybe_planar(b.g_nodes, b.g)
+
+
+@query()
+def partition_hierarchy(b):
+    return graph.hierarchy(b.g_nodes, b.g.withColumn("confidence", F.lit(1.0)))
+
+
 @query()
 def fiedler_partition(b):
     edges = b.g.withColumn("confidence", F.lit(1.0))
