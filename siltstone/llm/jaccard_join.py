@@ -12,8 +12,9 @@ Steps, each written to the shared folder:
    order. Documents with equal sets become one representative, so exact copies never meet in a bucket.
 2. A quick round joins representatives on their two least tokens and verifies a spanning forest; most groups of near
    copies are one component after it.
-3. The full index. Its buckets count only if they hold more than one component. A bucket over `frequent` rows makes its
-   token frequent, and the index is made anew with token combinations. The order is (frequent or not, hash); the flag comes from a bitmap of fixed size, whose false hits only change the order.
+3. The full index. A token that over `frequent` components hold (counted by places of a bitmap of fixed size, whose
+   shared places only change the order) is frequent; the order is (frequent or not, hash). Sets whose kept tokens hold
+   too few rare ones are read again. Buckets count only if they hold more than one component.
 4. In a bucket, parity bitmaps bound the symmetric difference from below, which discards almost all pairs that aren't
    links without their texts: a folded bitmap in the bucket, the whole one for the pairs left. Pairs inside one
    component aren't needed. Large buckets are dealt to block pairs.
@@ -347,28 +348,30 @@ def link(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Data
     # 2. the quick round
     least = groups.select(F.explode(F.array_distinct(F.slice("prefix", 1, 2))).alias("key"), "gid", "n", F.col("gid").alias("comp"), "small")
     sizes = least.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
-    edges = _verify(_meet(least.drop("small").join(sizes, "key"), groups, num, den, forest=True), groups, texts, width, num, den)
+    pairs = keep(_meet(least.drop("small").join(sizes, "key"), groups, num, den, forest=True), "pairs")
+    edges = _verify(pairs, groups, texts, width, num, den)
     merged = components(edges)
 
     # 3. the full index
     of = merged.toDF("gid", "root")
     sized = groups.join(of, "gid", "left").select("gid", "n", "text", "prefix", F.coalesce("root", "gid").alias("comp"))
-    single = lambda marked: sized.select("gid", "n", "comp", "prefix").mapInArrow(partial(_plain_rows, num=num, den=den, marked=marked), "key long, gid long, comp long")
-    rows = single(None)
+    # how many components have a token, by its place in the map: one set stands for each component
+    roots = sized.where("gid = comp").select("gid", "n", "comp", "prefix").mapInArrow(partial(_plain_rows, num=num, den=den, marked=None), "key long, gid long, comp long")
+    places = roots.select(F.expr(f"cast(shiftright(key, 20) & {MAP_BITS - 1} as int)").alias("place"))
+    marked = _map(places.groupBy("place").agg(F.count("*").alias("rows")).where(F.col("rows") > FREQUENT))
+    affected = sized.select("gid", "n", "prefix").mapInArrow(partial(_wanting_sets, num=num, den=den, marked=marked), "gid long, level int")
+    affected = keep(affected.join(sized, "gid").select("gid", "level", "comp", "text.text_id", F.col("text.doc_id").alias("rep_id")), "affected")
+    found = _texts(texts, affected).select("gid", "level", "comp", "text")
+    combined = found.mapInArrow(partial(_combination_rows, width=width, num=num, den=den, marked=marked), "key long, gid long, comp long")
+    plain = sized.select("gid", "n", "comp", "prefix").mapInArrow(partial(_plain_rows, num=num, den=den, marked=marked), "key long, gid long, comp long")
+    rows = keep(plain.unionAll(combined), "index")
     counted = _mixed(rows)
-    frequent = counted.where(F.col("rows") > FREQUENT)
-    if not frequent.isEmpty():
-        marked = _map(frequent)
-        affected = groups.select("gid", "n", "prefix").mapInArrow(partial(_wanting_sets, num=num, den=den, marked=marked), "gid long, level int")
-        affected = keep(affected.join(sized, "gid").select("gid", "level", "comp", "text.text_id", F.col("text.doc_id").alias("rep_id")), "affected")
-        found = _texts(texts, affected).select("gid", "level", "comp", "text")
-        combined = found.mapInArrow(partial(_combination_rows, width=width, num=num, den=den, marked=marked), "key long, gid long, comp long")
-        rows = keep(single(marked).unionAll(combined), "index")
-        counted = _mixed(rows)
     # buckets with the same rows are one bucket
     needed = keep(counted.groupBy("rows", "x", "y").agg(F.min("key").alias("key")).select("key", "rows"), "keys")
     hits = sift(rows, F.col("key"), bitmap_of(needed, F.col("key"))).join(needed, "key").join(groups.select("gid", "n"), "gid").select("key", "gid", "n", "comp", "rows")
-    more = _verify(_meet(hits, groups, num, den, forest=False), groups, texts, width, num, den)
+    pairs = keep(_meet(hits, groups, num, den, forest=False), "pairs")
+    forget(rows)
+    more = _verify(pairs, groups, texts, width, num, den)
 
     # 5. components of documents
     if not more.isEmpty():
@@ -377,13 +380,17 @@ def link(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Data
     ids = groups.join(of, "gid", "left").select("s1", "s2", "n", "text", F.coalesce("root", "gid").alias("root"))
     least_ids = ids.groupBy("root").agg(F.min("text").alias("least"))
     ids = ids.join(least_ids, "root").select("s1", "s2", "n", "least")
-    return sets.select("doc_id", "text_id", "n", "s1", "s2").join(ids, ["s1", "s2", "n"], "left").select(
+    out = sets.select("doc_id", "text_id", "n", "s1", "s2").join(ids, ["s1", "s2", "n"], "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
         "text_id",
         ((F.col("n") == 0) | (F.col("text_id") == F.col("least.text_id"))).alias("is_first"),
     )
+    out = keep(out, "components")
+    forget(sets)
+    forget(groups)
+    return out
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -395,9 +402,8 @@ def _mixed(rows: DataFrame) -> DataFrame:
 
 
 def _map(frequent: DataFrame) -> bytes:
-    """A bit for each frequent key, MAP_BITS in all, gathered as at most MAP_BITS / 32768 partial maps."""
-    place = frequent.select(F.expr(f"(shiftright(key, 20) & {MAP_BITS - 1})").alias("place"))
-    parts = place.groupBy(F.expr("place div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(cast(place % 32768 as bigint))").alias("bits"))
+    """A bit for each place of frequent(place), MAP_BITS in all, gathered as at most MAP_BITS / 32768 partial maps."""
+    parts = frequent.groupBy(F.expr("place div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(cast(place % 32768 as bigint))").alias("bits"))
     out = np.zeros(MAP_BITS // 8, np.uint8)
     for r in parts.collect():
         out[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
@@ -447,7 +453,6 @@ def _texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _verify(pairs: DataFrame, groups: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs whose sets are linked, by the texts of the two representatives."""
-    pairs = keep(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("gid")).unionAll(pairs.select(F.col("b").alias("gid"))).distinct()
     wanted = keep(wanted.join(groups.select("gid", "text"), "gid").select("gid", "text.text_id", F.col("text.doc_id").alias("rep_id")), "wanted")
     found = keep(_texts(texts, wanted).dropDuplicates(["text_id", "gid"]).select("gid", "text"), "texts")

@@ -20,7 +20,7 @@ _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _PLACES = _SEED.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[int, np.ndarray] = {}
 #: texts are hashed in parts of so many bytes (or one text): this bounds a worker's memory at about 60 times that
-PART = 2_000_000
+PART = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
