@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -60,6 +65,25 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def frees(f):
+    """For generators that a Python worker runs over batches: the worker outlives the task, so what the task's arrays
+    took goes back to the system when it ends."""
+
+    @functools.wraps(f)
+    def run(batches: Iterator[pa.RecordBatch], *args, **kwargs) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches, *args, **kwargs)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                with contextlib.suppress(OSError, AttributeError):
+                    ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
+@frees
 def _sifted(batches: Iterator[pa.RecordBatch], bitmap: bytes, hit: bool) -> Iterator[pa.RecordBatch]:
     bits = np.frombuffer(bitmap, np.uint8)
     for batch in batches:

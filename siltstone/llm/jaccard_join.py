@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import bitmap_of, forget, keep, sift, small_batches, table
+from siltstone.llm.common import bitmap_of, forget, frees, keep, sift, small_batches, table
 from siltstone.llm.components import components
 from siltstone.llm.shingles import mix, shingles
 
@@ -73,6 +73,7 @@ def _places(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(20)) & np.uint64(MAP_BITS - 1)
 
 
+@frees
 def _features(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = 0
@@ -109,6 +110,7 @@ def _marked_keys(prefix: np.ndarray, n: int, level: int, num: int, den: int, fla
     return rare if len(rare) == need else None
 
 
+@frees
 def _plain_rows(batches: Iterator[pa.RecordBatch], num: int, den: int, marked: bytes | None) -> Iterator[pa.RecordBatch]:
     """Index rows of the sets whose kept tokens are enough: in hash order, or with a map the rare tokens first."""
     flags = None if marked is None else np.unpackbits(np.frombuffer(marked, np.uint8), bitorder="little").view(bool)
@@ -138,6 +140,7 @@ def _wanting_sets(batches: Iterator[pa.RecordBatch], num: int, den: int, marked:
         yield pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int32())], names=["gid", "level"])
 
 
+@frees
 def _combination_rows(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int, marked: bytes) -> Iterator[pa.RecordBatch]:
     """Index rows of sets with frequent tokens: single rare tokens, and pairs of frequent tokens of one class."""
     flags = np.unpackbits(np.frombuffer(marked, np.uint8), bitorder="little").view(bool)
@@ -207,6 +210,7 @@ def _runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
+@frees
 def _candidates(batches: Iterator[pa.RecordBatch], num: int, den: int, forest: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of a bucket that the parity bitmaps can't rule out, between different components.
 
@@ -302,6 +306,7 @@ def _folded(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
+@frees
 def _verified(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left = (h for p in shingles(batch.column("text_a"), width) for h in p)
@@ -430,6 +435,7 @@ def _meet(dealt: DataFrame, groups: DataFrame, num: int, den: int, forest: bool)
     return both.mapInArrow(partial(_narrowed, num=num, den=den), "a long, b long")
 
 
+@frees
 def _narrowed(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """The pairs that the whole parity bitmaps can't rule out."""
     for batch in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import bitmap_of, forget, keep, sift, small_batches, table
+from siltstone.llm.common import bitmap_of, forget, frees, keep, sift, small_batches, table
 
 SIZE, ORDER = 64, 4
 BORDER, OTHER = 0, 1
@@ -99,6 +99,7 @@ def _parts(texts: list[str | None], most: int = 2_000_000) -> Iterator[list[str
         yield part
 
 
+@frees
 def _counted(batches: Iterator[pa.RecordBatch], of) -> Iterator[pa.RecordBatch]:
     """(key, n): counts of of(texts), summed within the task; held at about 2 million keys."""
     keys, counts, held = [], [], 0
