@@ -6,8 +6,8 @@ n-gram, and joined shard by shard (n-grams with their contexts) into discounted
 each order; lower orders count distinct left neighbours. The bounded result is what the scoring tasks receive.
 
 A document's perplexity is taken over its whole text. It is kept if it lies within the band of its language: between a
-low and a high quantile of the trusted documents' perplexities, each widened by a margin. Low perplexity marks text
-that repeats itself.
+low and a high quantile of the trusted documents' perplexities, each widened by a margin that grows as texts get
+shorter. Texts that repeat common words lie below the band, those that repeat rare ones above it.
 """
 
 from __future__ import annotations
@@ -35,9 +35,11 @@ class Band:
 
     low: float = 0.02
     high: float = 0.98
-    margin: float = 1.35
-    #: shorter texts (characters) say too little to be rejected
-    least_chars: int = 64
+    margin: float = 1.05
+    #: a text may hold so many bits of surprise, or lack of it, beyond the margin in all: one odd name rejects nobody
+    spare: float = 40.0
+    #: below so many characters the spare bits grow in inverse proportion
+    short: int = 64
     #: a language with fewer trusted documents uses the quantiles of all languages
     least: int = 50
     accuracy: int = 10_000
@@ -196,8 +198,8 @@ def grade(docs: DataFrame, labels: DataFrame, band: Band = Band()) -> DataFrame:
     """docs with perplexity, low, high and keep.
 
     Trusted texts are those of documents that labels(doc_id, quality) gives quality 1; null labels and ids don't count.
-    Without trusted texts every document is kept. A null lang is a language of its own. Null, empty and very short
-    texts hold too little evidence and are kept. Repeated rows are graded each; an empty table gives an empty result; clashing columns with
+    Without trusted texts every document is kept. A null lang is a language of its own. Null and empty texts hold no
+    evidence and are kept; short ones meet a wide band. low and high are those of a document's own length. Repeated rows are graded each; an empty table gives an empty result; clashing columns with
     these names are replaced.
     """
     spark = docs.sparkSession
@@ -210,15 +212,17 @@ def grade(docs: DataFrame, labels: DataFrame, band: Band = Band()) -> DataFrame:
     forget(trusted)
     edges = F.percentile_approx("p", [band.low, band.high], band.accuracy)
     whole = own.agg(edges.alias("q")).first().q or [0.0, float("inf")]
-    low, high = F.col("q")[0] / band.margin, F.col("q")[1] * band.margin
+    low, high = F.col("q")[0], F.col("q")[1]
     by_tongue = own.groupBy("tongue").agg(edges.alias("q"), F.count("*").alias("n")).where(F.col("n") >= band.least)
     by_tongue = keep(by_tongue.select("tongue", low.alias("own_low"), high.alias("own_high")), "bands")
     if by_tongue.count() <= MOST_TONGUES:
         by_tongue = F.broadcast(by_tongue)
     base = docs.drop("perplexity", "low", "high", "keep", "tongue")
     graded = base.withColumn("tongue", F.coalesce("lang", F.lit(""))).join(by_tongue, "tongue", "left")
-    graded = graded.withColumns({"perplexity": perplexity(F.col("text"), model, spark), "low": F.coalesce("own_low", F.lit(whole[0] / band.margin)), "high": F.coalesce("own_high", F.lit(whole[1] * band.margin))})
-    kept = (F.coalesce(F.length("text"), F.lit(0)) < band.least_chars) | F.col("perplexity").between(F.col("low"), F.col("high"))
+    n = F.coalesce(F.length("text"), F.lit(0)) + 1
+    room = band.margin * F.pow(F.lit(2.0), F.lit(band.spare) / n * F.greatest(F.lit(1.0), band.short / n))
+    graded = graded.withColumns({"perplexity": perplexity(F.col("text"), model, spark), "low": F.coalesce("own_low", F.lit(whole[0])) / room, "high": F.coalesce("own_high", F.lit(whole[1])) * room})
+    kept = (F.coalesce(F.length("text"), F.lit(0)) == 0) | F.col("perplexity").between(F.col("low"), F.col("high"))
     return graded.select(*base.columns, "perplexity", "low", "high", kept.alias("keep"))
 
 

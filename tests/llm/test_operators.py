@@ -301,6 +301,17 @@ def test_junk_is_outside_the_band(spark):
     assert quality.grade(docs.limit(0), labels).count() == 0
 
 
+def test_repeated_words_and_short_junk_are_outside_the_band(spark):
+    good, _ = trusted_rows()
+    bad = ["upsilon " * 200, "pi nu " * 80, "BUY!! NOW!! CHEAP!! PILLS!! HERE!! $$$ WWW", "#" * 50]
+    short = ["alpha beta", "xi nu mu lambda", "tau upsilon pi rho"]
+    docs = docs_of(spark, [*good, *bad, *short])
+    labels = spark.createDataFrame([(i, 1) for i in range(len(good) // 2)], "doc_id long, quality int")
+    keep = {r.doc_id: r.keep for r in quality.grade(docs, labels).collect()}
+    assert [keep[len(good) + i] for i in range(len(bad))] == [False] * len(bad)
+    assert all(keep[len(good) + len(bad) + i] for i in range(len(short)))
+
+
 def test_probabilities_sum_to_one(spark):
     good, _ = trusted_rows(40)
     table = quality.train(docs_of(spark, good)).table()
