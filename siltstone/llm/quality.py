@@ -1,9 +1,8 @@
 """Quality by an interpolated modified Kneser-Ney model of characters, order 4, trained on trusted text.
 
-Symbols are the 62 most frequent characters of the trusted text, one for all others and one for the text's border, so
-the model has at most 64^4 entries whatever the input. Counts are taken over all trusted documents, summed in shards by
-n-gram, and joined shard by shard (n-grams with their contexts) into discounted probabilities and back-off weights of
-each order; lower orders count distinct left neighbours. The bounded result is what the scoring tasks receive.
+kneser_ney has the model: all characters are symbols, counts are summed over all trusted documents, and documents'
+distinct n-grams are joined to them in shards. (`train` and `Model` here are the same model over 64 symbols as one dense
+table, for small alphabets; the query doesn't use them.)
 
 A document's perplexity is taken over its whole text. It is kept if it lies within the band of its language: between a
 low and a high quantile of the trusted documents' perplexities, each widened by a margin that grows as texts get
@@ -16,12 +15,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import bitmap_of, forget, frees, keep, sift, small_batches, table
+from siltstone.llm import kneser_ney
+from siltstone.llm.common import bitmap_of, forget, frees, keep, sift, small_batches, table, without
 
 SIZE, ORDER = 64, 4
 BORDER, OTHER = 0, 1
@@ -128,7 +127,7 @@ def _counted(batches: Iterator[pa.RecordBatch], of) -> Iterator[pa.RecordBatch]:
 
 
 def train(trusted: DataFrame) -> Model | None:
-    """The model of all texts of trusted(text, ...); None without any text."""
+    """The dense model of all texts of trusted(text, ...); None without any text."""
     texts = trusted.select("text")
     points = texts.mapInArrow(lambda b: _counted(b, lambda t: _code_points(t)[0]), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     points = points.where("key not in (9, 10, 11, 12, 13, 32)").orderBy(F.desc("n"), "key").limit(SIZE - 3)
@@ -174,56 +173,62 @@ def _discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return shares, contexts.select(F.col("context").cast("int"), (F.col("lost") / F.col("total")).alias("back_off"))
 
 
-def perplexity(text: Column, model: Model | None, spark: SparkSession) -> Column:
-    """Perplexity per character of whole texts, the end included; null and empty texts have that of the end alone."""
-    if model is None:
-        return F.lit(1.0)
-    sent = spark.sparkContext.broadcast(model)  # at most 64^4 entries of 8 bytes
-
-    @F.pandas_udf("double")
-    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        log = sent.value.table()  # 64 MB, for this task only
-        for texts in batches:
-            out = []
-            for part in _parts(texts.tolist()):
-                g, begins = _grams(part, sent.value.symbols)
-                total = np.add.reduceat(log[g], begins, dtype=np.float64)
-                out.append(np.exp2(-total / np.diff(np.append(begins, len(g)))))
-            yield pd.Series(np.concatenate(out) if out else [], dtype="float64")
-
-    return measured(text)
+def _key() -> Column:
+    """What names a document's row: of equal rows each has the same text and band."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("lang").cast("string"), F.lit("")))
 
 
-def grade(docs: DataFrame, labels: DataFrame, band: Band = Band()) -> DataFrame:
-    """docs with perplexity, low, high and keep.
-
-    Trusted texts are those of documents that labels(doc_id, quality) gives quality 1; null labels and ids don't count.
-    Without trusted texts every document is kept. A null lang is a language of its own. Null and empty texts hold no
-    evidence and are kept; short ones meet a wide band. low and high are those of a document's own length. Repeated rows are graded each; an empty table gives an empty result; clashing columns with
-    these names are replaced.
-    """
+def _graded(docs: DataFrame, labels: DataFrame, band: Band) -> DataFrame:
+    """docs with grade_key, perplexity, low, high and keep."""
     spark = docs.sparkSession
     small_batches(spark)
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    near = sift(docs.select("doc_id", "text", "lang").where("doc_id is not null and text <> ''"), F.col("doc_id").cast("long"), bitmap_of(good, F.col("doc_id").cast("long")))
-    trusted = keep(near.join(good.hint("shuffle_hash"), "doc_id", "left_semi").select("text", "lang"), "trusted")
-    model = train(trusted)
-    own = keep(trusted.select(perplexity(F.col("text"), model, spark).alias("p"), F.coalesce("lang", F.lit("")).alias("tongue")), "trusted_perplexity")
-    forget(trusted)
+    wanted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    bitmap = bitmap_of(wanted, F.col("doc_id"))
+    base = docs.drop("perplexity", "low", "high", "keep", "tongue", "grade_key", "n_read")
+    keyed = base.select("doc_id", "text", "lang").withColumns({"key": _key(), "doc_id": F.col("doc_id").cast("long")})
+    trusted = sift(keyed.where("doc_id is not null and text <> ''"), F.col("doc_id"), bitmap)
+    ids = keyed.select("doc_id").unionByName(wanted).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
+    if ids.a is not None and ids.b - ids.a >= 8 * len(bitmap):  # else each id has a bit of its own, and no text is shuffled
+        trusted = trusted.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
+    model = kneser_ney.train(trusted.select("text", "key"))
+    if model is None:
+        return base.withColumns({"grade_key": _key(), "perplexity": F.lit(1.0), "low": F.lit(0.0), "high": F.lit(float("inf")), "keep": F.lit(True)})
+    scores = kneser_ney.perplexities(keyed, model)
+    forget(model[0])
+    own = trusted.select("key", F.coalesce("lang", F.lit("")).alias("tongue")).join(scores.hint("shuffle_hash"), "key")
+    own = keep(own.select("tongue", F.col("perplexity").alias("p")), "trusted_perplexity")
     edges = F.percentile_approx("p", [band.low, band.high], band.accuracy)
-    whole = own.agg(edges.alias("q")).first().q or [0.0, float("inf")]
+    whole = own.agg(edges.alias("q")).first().q
     low, high = F.col("q")[0], F.col("q")[1]
     by_tongue = own.groupBy("tongue").agg(edges.alias("q"), F.count("*").alias("n")).where(F.col("n") >= band.least)
     by_tongue = keep(by_tongue.select("tongue", low.alias("own_low"), high.alias("own_high")), "bands")
     if by_tongue.count() <= MOST_TONGUES:
         by_tongue = F.broadcast(by_tongue)
-    base = docs.drop("perplexity", "low", "high", "keep", "tongue")
-    graded = base.withColumn("tongue", F.coalesce("lang", F.lit(""))).join(by_tongue, "tongue", "left")
-    n = F.coalesce(F.length("text"), F.lit(0)) + 1
+    read = base.withColumns({"grade_key": _key(), "n_read": F.coalesce(F.length("text"), F.lit(0)), "tongue": F.coalesce("lang", F.lit(""))})
+    graded = read.join(scores.withColumnRenamed("key", "grade_key").hint("shuffle_hash"), "grade_key").join(by_tongue, "tongue", "left")
+    n = F.col("n_read") + 1
     room = band.margin * F.pow(F.lit(2.0), F.lit(band.spare) / n * F.greatest(F.lit(1.0), band.short / n))
-    graded = graded.withColumns({"perplexity": perplexity(F.col("text"), model, spark), "low": F.coalesce("own_low", F.lit(whole[0])) / room, "high": F.coalesce("own_high", F.lit(whole[1])) * room})
-    kept = (F.coalesce(F.length("text"), F.lit(0)) == 0) | F.col("perplexity").between(F.col("low"), F.col("high"))
-    return graded.select(*base.columns, "perplexity", "low", "high", kept.alias("keep"))
+    graded = graded.withColumns({"low": F.coalesce("own_low", F.lit(whole[0])) / room, "high": F.coalesce("own_high", F.lit(whole[1])) * room})
+    kept = (F.col("n_read") == 0) | F.col("perplexity").between(F.col("low"), F.col("high"))
+    return graded.select(*base.columns, "grade_key", "perplexity", "low", "high", kept.alias("keep"))
+
+
+def grade(docs: DataFrame, labels: DataFrame, band: Band = Band()) -> DataFrame:
+    """docs with perplexity, low, high and keep.
+
+    Trusted texts are those of documents that labels(doc_id, quality) gives quality 1; null labels and ids don't count.
+    Without trusted texts every document is kept. A null lang is a language of its own. Null and empty texts hold no
+    evidence and are kept; short ones meet a wide band. low and high are those of a document's own length. Repeated
+    rows are graded each; an empty table gives an empty result; clashing columns with these names are replaced. The
+    columns that are read later are shuffled; clean() leaves texts where they are.
+    """
+    return _graded(docs, labels, band).drop("grade_key")
+
+
+def clean(docs: DataFrame, labels: DataFrame, band: Band = Band()) -> DataFrame:
+    """The rows of docs that grade() keeps."""
+    bad = keep(_graded(docs.select("doc_id", "text", "lang"), labels, band).where("not keep").select("grade_key").distinct(), "rejected")
+    return without(docs.withColumn("grade_key", _key()), "grade_key", bad).select(*docs.columns)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,11 +8,12 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-from siltstone.llm import chat, decontamination, extraction, fixity, jaccard_join, nearest, packing, quality, token_counts, toxicity  # noqa: E402
+from siltstone.llm import chat, decontamination, extraction, fixity, jaccard_join, kneser_ney, nearest, packing, quality, token_counts, toxicity  # noqa: E402
 from siltstone.llm.common import without  # noqa: E402
 from siltstone.llm.components import components  # noqa: E402
 
@@ -327,6 +328,68 @@ def test_perplexity_doesnt_depend_on_neighbours(spark):
     assert whole[: begins[1]].tolist() == grams([good[0]])[0].tolist() and whole[begins[2] :].tolist() == grams([bad[0]])[0].tolist()
 
 
+def brute_perplexities(trusted, texts):
+    """The model by dictionaries: interpolated modified Kneser-Ney, order 4, every character a symbol."""
+    spaced = lambda t: [" " if c in "\t\n\x0b\x0c\r" else c for c in t or ""]
+    grams = lambda t: [tuple(x[i : i + 4]) for x in [[None] * 3 + spaced(t) + [None]] for i in range(len(x) - 3)]
+    count = {4: collections.Counter(g for t in trusted for g in grams(t))}
+    for k in (3, 2, 1):
+        count[k] = collections.Counter(g[1:] for g in count[k + 1])
+    cuts, total, lost = {}, collections.Counter(), collections.Counter()
+    for k, c in count.items():
+        n1, n2, n3, n4 = (sum(v == i for v in c.values()) for i in range(1, 5))
+        y = n1 / (n1 + 2 * n2) if n1 else 0.5
+        cut = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+        cuts[k] = [min(max(d, 0.1), i + 0.9) for i, d in enumerate(cut)]
+        for g, n in c.items():
+            total[k, g[:-1]] += n
+            lost[k, g[:-1]] += cuts[k][min(n, 3) - 1]
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / (len(count[1]) + 1)
+        if (k, g[:-1]) not in total:
+            return p(g[1:])
+        n = count[k][g]
+        return ((n - cuts[k][min(n, 3) - 1] if n else 0) + lost[k, g[:-1]] * p(g[1:])) / total[k, g[:-1]]
+
+    return [2 ** -np.mean([np.log2(p(g)) for g in grams(t)]) for t in texts]
+
+
+def test_sharded_model_matches_brute_force(spark):
+    rng = random.Random(12)
+    signs = "".join(map(chr, [*range(0x430, 0x450), *range(0x410, 0x430), *range(0x4E00, 0x4E40)])) + "abcxyz ,.#"
+    texts = ["".join(rng.choice(signs[i % 3 * 40 :]) for _ in range(120)) for i in range(40)]
+    asked = [*texts, *(t or "" for t in ODD_TEXTS), "Ω" * 30]
+    rows = spark.createDataFrame([(t, i) for i, t in enumerate(asked)], "text string, key long")
+    found = {r.key: r.perplexity for r in kneser_ney.perplexities(rows, kneser_ney.train(rows.where("key < 40"))).collect()}
+    assert [found[i] for i in range(len(asked))] == pytest.approx(brute_perplexities(texts, asked), rel=1e-9)
+
+
+def test_packets_hold_every_count():
+    texts = [None, "", "abab\n", "ж" * 300, "abab\n", "x y"]
+    for shards in (1, 5):
+        packets = dict(kneser_ney._packets(texts, shards))
+        n, m, docs = np.sum([np.frombuffer(p, "<i8", 3) for p in packets.values()], axis=0)
+        assert docs == len(texts) * len(packets)
+        every = np.array(sorted({int(h) for i, p in packets.items() for h in np.frombuffer(pa.decompress(p[24:], int(np.frombuffer(p, "<i8", 2) @ [10, 6]), "zstd", asbytes=True), "<i8", int(np.frombuffer(p, "<i8", 1)[0]))}))
+        sums = sum(kneser_ney._sums(p, every, np.ones(len(every))) for p in packets.values())
+        assert n == len(every) and sums.tolist() == [4 * (len(t or "") + 1) + 2 * bool(t) for t in texts]
+
+
+def test_letters_beyond_the_commonest_are_told_apart(spark):
+    rng = random.Random(3)
+    few = ["".join(rng.choice(["мир ", "дом ", "лес "]) for _ in range(60)) for _ in range(60)]
+    wide = ["".join(chr(0x4E00 + (i * 7 + j) % 90) for j in range(200)) * 2 for i in range(120)]  # 90 commoner symbols
+    docs = docs_of(spark, [*few, *wide, "щшъы " * 50]).withColumn("lang", F.expr("if(doc_id < 60 or doc_id = 180, 'ru', 'zh')"))
+    labels = spark.createDataFrame([(i, 1) for i in range(180)], "doc_id long, quality int")
+    keep = {r.doc_id: r.keep for r in quality.grade(docs, labels).collect()}
+    assert not keep[180] and sum(keep[i] for i in range(60)) >= 57
+    cleaned = quality.clean(docs, labels)
+    assert sorted(r.doc_id for r in cleaned.select("doc_id").collect()) == sorted(i for i in keep if keep[i]) and cleaned.columns == docs.columns
+
+
 def test_toxic_words_are_learnt(spark):
     rng = random.Random(4)
     plain = lambda: [rng.choice(WORDS) for _ in range(80)]
