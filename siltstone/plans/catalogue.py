@@ -699,6 +699,37 @@ def fiedler_partition(b):
     return graph.fiedler_partition(b.g_nodes, edges)
 
 
+class _Whole(_Base):
+    """The graph of all event pairs; `g` keeps a part of its edges."""
+
+    @property
+    def g(self) -> DataFrame:
+        after = F.lead("user_id").over(Window.partitionBy(F.expr("event_id div 50")).orderBy("event_id"))
+        return self.events.select(F.col("user_id").alias("src"), after.alias("dst")).where("src is not null and dst is not null").distinct()
+
+
+_PART, _ALL = _CTE["g"], "select distinct src, dst from pairs where src is not null and dst is not null"
+
+
+def _whole(name: str, f: Callable[[_Base], DataFrame], sql: str | None) -> None:
+    """name_whole: f over all nodes and edges; sql as over `g`."""
+    _queries[f"{name}_whole"] = lambda spark, sf_dir: f(_Whole(spark, sf_dir))
+    if sql is not None:
+        assert _PART in sql
+        _sql[f"{name}_whole"] = sql.replace(_PART, _ALL)
+
+
+_EDGES = _with("pairs", "g")
+_whole("neighbors_out", lambda b: graph.neighbours(b.g, b.g_nodes, "out"), f"{_EDGES} select src as id, dst as neighbour from g")
+_whole("neighbors_in", lambda b: graph.neighbours(b.g, b.g_nodes, "in"), f"{_EDGES} select dst as id, src as neighbour from g")
+_whole("neighbors_both", lambda b: graph.neighbours(b.g, b.g_nodes, "both"), f"{_EDGES} select src as id, dst as neighbour from g union all select dst, src from g")
+_whole("reverse_reachability", lambda b: graph.closure(b.g, reverse=True).select("src", "dst"), f"{_CLOSE} select dst as src, src as dst from c where src <> dst")
+# without a depth cap SQL's recursion over depths doesn't end; tested against brute force
+_whole("shortest_path_length", lambda b: graph.closure(b.g), None)
+for _f in (reachability_closure, connected_components, component_sizes, scc_members, condensation_edges, entry_exit_points, augmented_graph, planarity_bound, graph_stats):
+    _whole(_f.__name__, _f, _sql[_f.__name__])
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.operators import beliefs, graph, mutation, synthesis, tables
+from siltstone.plans import catalogue
 from siltstone.sources import code, reports
 from siltstone.streaming import runs as stream
 
@@ -134,3 +135,25 @@ def test_streams_agree_with_batch(spark, tmp_path):
     q.awaitTermination(120)
     last = spark.table("pid").collect()[-1]
     assert (last.p, last.i, last.d) == (pytest.approx(0.2), pytest.approx(0.84), pytest.approx(-0.2))
+
+
+def test_whole_graph_queries_leave_nothing_out(spark, tmp_path):
+    """A path of 30 users (some beyond any depth of 12), a cycle and a lone pair, in blocks of 50 events."""
+    runs = [list(range(1, 31)), [40, 41, 42, 40], [51, 52]]
+    events = [(50 * k + i, u) for k, run in enumerate(runs) for i, u in enumerate(run)]
+    spark.createDataFrame(events, "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    edges = {e for run in runs for e in zip(run, run[1:])}
+    depth = {}
+    for start in {u for e in edges for u in e}:
+        frontier, d, seen = {start}, 0, {start}
+        while frontier:
+            d += 1
+            frontier = {b for a, b in edges if a in frontier} - seen
+            seen |= frontier
+            depth |= {(start, x): d for x in frontier}
+    rows = lambda name: sorted(map(tuple, catalogue.queries()[name](spark, str(tmp_path)).collect()))
+    assert rows("shortest_path_length_whole") == sorted((*pair, d) for pair, d in depth.items()) and max(depth.values()) == 29
+    assert rows("reachability_closure_whole") == sorted(depth) and rows("reverse_reachability_whole") == sorted((b, a) for a, b in depth)
+    assert rows("neighbors_out_whole") == sorted(edges) and rows("neighbors_in_whole") == sorted((b, a) for a, b in edges)
+    assert rows("neighbors_both_whole") == sorted([*edges, *((b, a) for a, b in edges)])
+    assert {c for _, c in rows("connected_components_whole")} == {1, 40, 51}
