@@ -3,8 +3,8 @@
 Vectors are packed into blocks of rows. A tile is one block of candidates against one block of queries; a task takes a
 block of queries through a lane of candidate blocks, one at a time. Inside a tile both sides are quantised to int8 with one scale a vector; the integer product is exact (float32 sums of integers
 below 2^24, or float64 beyond), and |x.y - X.Y| <= |X||e_y| + |e_x||Y| + |e_x||e_y| bounds its error, X and Y being the
-quantised vectors and e the remainders. Only pairs whose upper bound reaches the k-th largest lower bound, and the k-th
-best so far, are computed again, from the original floats in double precision. Each lane keeps a heap of k a query, and
+quantised vectors and e the remainders. Only pairs whose upper bound reaches the k-th id's lower bound, and the k-th
+best id so far, are computed again, from the original floats in double precision. Each lane keeps a heap of k ids a query, and
 the lanes' heaps are merged.
 
 The rows shuffled are blocks, not pairs; every query meets every candidate once, and nothing is broadcast.
@@ -71,7 +71,7 @@ def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, so_far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """rows of q, candidate ids and scores: what may be among each query's k best, its own id aside.
 
-    so_far: the k-th best score of each query from earlier tiles.
+    so_far: the score of each query's k-th best id from earlier tiles.
     """
     order = np.argsort(c_ids, kind="stable")
     c_ids, c = c_ids[order], c[order]
@@ -83,7 +83,11 @@ def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
     slack += 1e-12 * (qn + qe)[:, None] * (cn + ce)[None, :]  # rounding of the sums themselves
     own = q_ids[:, None] == c_ids[None, :]
     low = np.where(own, -np.inf, near - slack)
-    n = len(c_ids)
+    # bounds count ids, not rows: rows of one id are one candidate
+    first = np.flatnonzero(np.concatenate([[True], c_ids[1:] != c_ids[:-1]]))
+    n = len(first)
+    if n < len(c_ids):
+        low = np.maximum.reduceat(low, first, axis=1)
     least = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(q), -np.inf)
     least = np.maximum(least, so_far)
     rows, columns = np.nonzero((near + slack >= least[:, None]) & ~own)
@@ -91,7 +95,12 @@ def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
 
 
 def _best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of each row, best first, ties to smaller ids; and each row's k-th score (-inf with fewer)."""
+    """The k best ids of each row, best first, ties to smaller ids; and each row's k-th score (-inf with fewer)."""
+    order = np.lexsort((-scores, ids, rows))
+    rows, ids, scores = rows[order], ids[order], scores[order]
+    if len(rows):  # an id's best row stands for it
+        own = np.concatenate([[True], (rows[1:] != rows[:-1]) | (ids[1:] != ids[:-1])])
+        rows, ids, scores = rows[own], ids[own], scores[own]
     order = np.lexsort((ids, -scores, rows))
     rows, ids, scores = rows[order], ids[order], scores[order]
     place = np.arange(len(rows)) - np.searchsorted(rows, np.arange(n))[rows]

@@ -433,3 +433,17 @@ def test_neighbours_match_brute_force(spark, monkeypatch):
         assert [(j, s[j]) for j in best] == got[q]
     assert set(got) == set(range(0, 500, 20))
     assert nearest.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("size", [8, 2048])
+def test_rows_of_one_id_take_one_place(spark, monkeypatch, size):
+    monkeypatch.setattr(nearest, "CANDIDATES", size)
+    rng = np.random.default_rng(5)
+    rows = [(0, [1.0, 0.0, 0.0]), *((i, [float(x) for x in rng.random(3)]) for i in range(1, 31))]
+    rows += [(i, [5.0 + i + float(x), *map(float, rng.random(2))]) for i in (7, 8) for x in rng.random(40)]
+    best = {}
+    for i, v in rows[1:]:
+        best[i] = max(best.get(i, -1.0), v[0])
+    expected = sorted(best, key=lambda i: (-best[i], i))[:20]
+    got = nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == expected and [r.score for r in got] == [best[i] for i in expected]
