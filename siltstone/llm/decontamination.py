@@ -7,7 +7,9 @@ largest size u. A document that contains a share t or more of an item lacks too
 looking up all of a document's shingle hashes in the sketches finds every leak. Found pairs are verified on the
 shingles themselves.
 
-The sketches are broadcast where their counted size allows (`most_broadcast` rows), else joined by a shuffle.
+The sketches are broadcast where their counted size allows (`most_broadcast` rows), else joined by a shuffle. Texts
+are read twice: once for their hashes, and again for the few documents that a candidate names, which a bitmap of their
+ids picks before anything moves.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import keep, table, without
+from siltstone.llm.common import SALTS, bitmap_of, keep, sift, table, without
 
 WIDTH, NUM, DEN = 5, 80, 100
 
@@ -53,24 +55,28 @@ def leaks(docs: DataFrame, items: DataFrame, num: int = NUM, den: int = DEN, mos
     listed = listed.withColumn("width", F.least(F.lit(WIDTH), F.size("w")))
     listed = listed.select("item_id", "width", _shingles(F.col("w"), F.col("width")).alias("shingles"), "w").withColumn("n", F.size("shingles"))
     listed = keep(listed, "items")
-    found = None
-    for width in sorted(r.width for r in listed.select("width").distinct().collect()):  # five values at most
-        own = listed.where(F.col("width") == width)
+    widths = sorted(r.width for r in listed.select("width").distinct().collect())  # five values at most
+    if not widths:
+        nothing = docs.where("false").select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in (("item_id", items.schema["item_id"].dataType), ("n_item_shingles", "long"), ("n_shared", "long"), ("containment", "double"))])
+        return nothing
+    index = None
+    for width in widths:
         size_class = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
         largest = F.pow(F.lit(2.0), size_class + 1).cast("int") - 1
         sketch = F.slice(F.array_sort(F.array_distinct(_hashes(F.col("w"), width))), F.lit(1), largest - F.ceil(largest * num / den).cast("int") + 1)
-        index = own.select("item_id", F.explode(sketch).alias("hash"))
-        if index.count() <= most_broadcast:
-            index = F.broadcast(index)
-        asked = docs.select("doc_id", F.explode(_hashes(words(F.col("text")), width)).alias("hash"))
-        met = asked.join(index, "hash").select("doc_id", "item_id").distinct()
-        found = met if found is None else found.unionAll(met)
-    if found is None:
-        found = docs.join(items.limit(0).select("item_id")).select("doc_id", "item_id")
-    found = keep(found, "candidates")
+        own = listed.where(F.col("width") == width).select("item_id", F.explode(sketch).alias("hash"))
+        index = own if index is None else index.unionAll(own)
+    index = keep(index, "sketches")
+    if index.count() <= most_broadcast:
+        index = F.broadcast(index)
+    # shingles of different widths have different hashes, or meet and aren't verified
+    asked = _bound(words(F.col("text")), lambda w: F.concat(*[_hashes(w, width) for width in widths]))
+    found = keep(docs.select("doc_id", F.explode(asked).alias("hash")).join(index, "hash").select("doc_id", "item_id").distinct(), "candidates")
     wanted = found.join(listed.withColumnRenamed("item_id", "listed_id"), found["item_id"].eqNullSafe(F.col("listed_id"))).select(F.col("doc_id").alias("found_id"), "item_id", "width", "shingles", "n")
-    texts = docs.select("doc_id", "text")
-    both = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["found_id"]))
+    wanted = wanted.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = F.xxhash64("doc_id")
+    texts = sift(docs.select("doc_id", "text"), named, bitmap_of(found, named)).withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int"))
+    both = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["found_id"]) & (texts["salt"] == wanted["turn"]))
     shared = F.size(F.array_intersect("shingles", _shingles(words(F.col("text")), F.col("width"))))
     pairs = both.select("doc_id", "item_id", F.col("n").cast("long").alias("n_item_shingles"), shared.cast("long").alias("n_shared"))
     pairs = pairs.where(F.col("n_shared") * den >= F.col("n_item_shingles") * num)
@@ -79,11 +85,12 @@ def leaks(docs: DataFrame, items: DataFrame, num: int = NUM, den: int = DEN, mos
 
 
 def clean(docs: DataFrame, items: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """docs without those that leak an item."""
-    return without(docs, "doc_id", keep(leaks(docs, items, num, den).select("doc_id").distinct(), "leaking"))
+    """docs without the rows of an id that leaks an item; all columns stay as they are, whatever their names."""
+    return without(docs, F.col("doc_id"), keep(leaks(docs.select("doc_id", "text"), items, num, den).select("doc_id").distinct(), "leaking"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, n_item_shingles, n_shared, containment: all documents against all benchmark items; see leaks."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

@@ -188,7 +188,7 @@ def _graded(docs: DataFrame, labels: DataFrame, band: Band) -> DataFrame:
     keyed = base.select("doc_id", "text", "lang").withColumns({"key": _key(), "doc_id": F.col("doc_id").cast("long")})
     trusted = sift(keyed.where("doc_id is not null and text <> ''"), F.col("doc_id"), bitmap)
     ids = keyed.select("doc_id").unionByName(wanted).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
-    if ids.a is not None and ids.b - ids.a >= 8 * len(bitmap):  # else each id has a bit of its own, and no text is shuffled
+    if ids.a is not None and ids.b - ids.a >= bitmap.size:  # else each id has a bit of its own, and no text is shuffled
         trusted = trusted.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
     model = kneser_ney.train(trusted.select("text", "key"))
     if model is None:
@@ -228,7 +228,7 @@ def grade(docs: DataFrame, labels: DataFrame, band: Band = Band()) -> DataFrame:
 def clean(docs: DataFrame, labels: DataFrame, band: Band = Band()) -> DataFrame:
     """The rows of docs that grade() keeps."""
     bad = keep(_graded(docs.select("doc_id", "text", "lang"), labels, band).where("not keep").select("grade_key").distinct(), "rejected")
-    return without(docs.withColumn("grade_key", _key()), "grade_key", bad).select(*docs.columns)
+    return without(docs, _key(), bad)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,6 +86,7 @@ def test_join_matches_brute_force(spark, width, num, den):
 
 def test_join_with_frequent_tokens_and_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "FREQUENT", 4)
+    monkeypatch.setattr(jaccard_join, "VERY", 12)
     monkeypatch.setattr(jaccard_join, "LARGE", 16)
     texts = near_copies(2, 240)
     rows = list(enumerate(texts))
@@ -106,7 +107,7 @@ def test_join_of_nothing(spark):
 
 def test_combination_keys_keep_every_link():
     rng = np.random.default_rng(3)
-    flags = rng.random(jaccard_join.MAP_BITS) < 0.7
+    kinds = rng.choice(3, jaccard_join.MAP_BITS, p=[0.3, 0.4, 0.3]).astype(np.uint8)
     for n in (64, 100, 300, 1000):
         for _ in range(20):
             x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
@@ -114,8 +115,8 @@ def test_combination_keys_keep_every_link():
             y = np.unique(np.concatenate([np.delete(x, drop), rng.integers(0, 2**63, len(drop), dtype=np.uint64)]))
             both = len(np.intersect1d(x, y))
             if 100 * both >= 90 * (len(x) + len(y) - both):
-                kx = {int(k) for level in jaccard_join._levels(len(x), 90, 100) for k in jaccard_join.combination_keys(x, level, 90, 100, flags)}
-                ky = {int(k) for level in jaccard_join._levels(len(y), 90, 100) for k in jaccard_join.combination_keys(y, level, 90, 100, flags)}
+                kx = {int(k) for level in jaccard_join._levels(len(x), 90, 100) for k in jaccard_join.combination_keys(x, level, 90, 100, kinds)}
+                ky = {int(k) for level in jaccard_join._levels(len(y), 90, 100) for k in jaccard_join.combination_keys(y, level, 90, 100, kinds)}
                 assert kx & ky
 
 
@@ -128,7 +129,7 @@ def test_components_of_a_long_chain(spark):
 def test_without_compares_nulls(spark):
     df = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "doc_id long, text string")
     bad = spark.createDataFrame([(None,), (2,)], "doc_id long")
-    assert [r.text for r in without(df, "doc_id", bad).collect()] == ["a"]
+    assert [r.text for r in without(df, F.col("doc_id"), bad).collect()] == ["a"]
 
 
 # ---- 3
