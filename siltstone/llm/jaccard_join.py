@@ -1,10 +1,10 @@
 """Jaccard self-join of word-shingle sets by token-combination prefixes.
 
-Two sets with similarity t or more differ in few tokens. With all tokens in one global order, a set's prefix is so long
-that, after losing as many tokens as a partner may lack, it still holds k tokens of some class k. So a pair shares a
-single token of the rare class, or two tokens of one of the frequent classes, and one index over single rare tokens and
-pairs of frequent tokens finds every link. The prefix is extended until its coverage (rare tokens, plus all but one
-token of each frequent class) reaches n - ceil(t * n) + 1.
+Two sets with similarity t or more differ in few tokens. Tokens are rare (k = 1), frequent (k = 2) or very frequent
+(k = 3), and the frequent ones are dealt to classes by hash. With all tokens in one global order, a set's prefix is
+extended until it covers n - ceil(t * n) + 1 tokens: all its rare ones, and all but k - 1 of each class. Then a linked
+pair shares a rare token or k tokens of one class, so one index over single rare tokens and k-token combinations finds
+every link.
 
 Steps, each written to the shared folder:
 
@@ -12,16 +12,18 @@ Steps, each written to the shared folder:
    order. Documents with equal sets become one representative, so exact copies never meet in a bucket.
 2. A quick round joins representatives on their two least tokens and verifies a spanning forest; most groups of near
    copies are one component after it.
-3. The full index. A token that over `frequent` components hold (counted by places of a bitmap of fixed size, whose
-   shared places only change the order) is frequent; the order is (frequent or not, hash). Sets whose kept tokens hold
-   too few rare ones are read again. Buckets count only if they hold more than one component.
+3. The index. Tokens are counted in sets of one representative a component; the order is (kind, hash). Sets whose kept
+   tokens hold too few rare ones are read again. Keys that only one set has are sifted out before their rows move; a
+   bucket counts if it holds more than one component, and buckets with the same rows are one bucket.
 4. In a bucket, parity bitmaps bound the symmetric difference from below, which discards almost all pairs that aren't
-   links without their texts: a folded bitmap in the bucket, the whole one for the pairs left. Pairs inside one
-   component aren't needed. Large buckets are dealt to block pairs.
-5. Surviving pairs are verified exactly on the shingle sets of the two texts; components follow.
+   links without their texts: a folded bitmap in the bucket, the whole one for the pairs left. A first round takes one
+   partner a set and bucket, verifies and merges components; the second round takes all pairs of sets that are still in
+   different components. Large buckets are dealt to block pairs.
+5. Surviving pairs are verified on the shingle sets of the two texts, under two independent families of hashes;
+   components follow. (Equality of whole sets, step 1, goes by the signature.)
 
 A set of size n in [2^L, 2^(L+1)) is indexed at level L, and at L + 1 if a partner may be there; classes and the
-frequent flag belong to the level.
+kinds belong to the level.
 """
 
 from __future__ import annotations
@@ -31,20 +33,24 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import bitmap_of, forget, frees, keep, sift, small_batches, table
+from siltstone.llm.common import SALTS, bitmap_of, forget, frees, hits, keep, near, sift, small_batches, table
 from siltstone.llm.components import components
 from siltstone.llm.shingles import mix, shingles
 
-#: rows from which a bucket's token counts as frequent; rows from which a bucket is dealt out in blocks
-FREQUENT, LARGE = 128, 2048
-#: bits of a parity bitmap for each token that may differ; bits of its folded form that index rows carry, at most
-PARITY, SMALL = 16, 512
+#: components that hold a frequent, a very frequent token, more than; rows from which a bucket is dealt out in blocks
+FREQUENT, VERY, LARGE = 32, 1024, 2048
+#: a bucket that is too large is cut into so many blocks, or that squared and so on
+SPLIT = 4
+#: bits of a parity bitmap for each token that may differ; bits of its folded form that index rows carry: at least, and
+#: for each token that may differ (unrelated sets differ in half of the bits, so two such bits a token tell them apart)
+PARITY, SMALL, FOLDED = 16, 512, 2
 #: the first pass keeps so many times the plain prefix, so that few sets need their texts again
 EXTENDED = 2
-#: bits of the map of frequent tokens: 2 MB, whatever the input
+#: bits of a map of frequent tokens: 2 MB, whatever the input (shared places only change the order)
 MAP_BITS = 1 << 24
 #: sets from this level on have frequent classes; smaller ones are indexed by single tokens
 LEAST_LEVEL = 6
@@ -78,110 +84,151 @@ def _features(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int)
     for batch in batches:
         at = 0
         for part in shingles(batch.column("text"), width):
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for h in part:
                 n = len(h)
                 if not n:
-                    row = (0, 0, 0, b"", b"", [])
+                    row = (0, 0, 0, b"", b"", [], [])
                 else:
                     allowed = 2 * n * (den - num) // (den + num)
                     bits = min(1 << 17, max(64, 1 << max(0, PARITY * allowed - 1).bit_length()))
                     odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
                     parity = np.packbits(odd.astype(np.uint8), bitorder="little")
-                    row = (n, int(h.sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(h)).view(np.int64)), parity.tobytes(), _folded(parity, SMALL // 8).tobytes(), h[: EXTENDED * _prefix_length(n, num, den)].view(np.int64))
+                    small = max(SMALL, 1 << max(0, FOLDED * allowed - 1).bit_length()) // 8
+                    prefix = h[: EXTENDED * _prefix_length(n, num, den)].view(np.int64)
+                    row = (n, int(h.sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(h)).view(np.int64)), parity.tobytes(), _folded(parity, small).tobytes(), prefix[:2], prefix)
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             made = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
             own = batch.slice(at, len(part))
             at += len(part)
-            yield pa.record_batch([own.column("doc_id"), own.column("text_id"), *made], names=["doc_id", "text_id", "n", "s1", "s2", "parity", "small", "prefix"])
+            yield pa.record_batch([own.column("doc_id"), own.column("text_id"), *made], names=["doc_id", "text_id", "n", "s1", "s2", "parity", "small", "least", "prefix"])
 
 
-def _marked_keys(prefix: np.ndarray, n: int, level: int, num: int, den: int, flags: np.ndarray | None) -> np.ndarray | None:
+def _kinds(maps: tuple[bytes, ...]) -> np.ndarray | None:
+    """0, 1 or 2 for the rare, frequent and very frequent places; None without frequent ones."""
+    if not maps:
+        return None
+    return np.sum([np.unpackbits(np.frombuffer(m, np.uint8), bitorder="little") for m in maps], axis=0, dtype=np.uint8)
+
+
+def _marked_keys(prefix: np.ndarray, n: int, level: int, num: int, den: int, kinds: np.ndarray | None) -> np.ndarray | None:
     """A set's keys at a level from the start of its tokens; None if that start has too few rare tokens."""
     need = _prefix_length(n, num, den)
-    if flags is None or level < LEAST_LEVEL:
+    if kinds is None or level < LEAST_LEVEL:
         return _keys(prefix[:need], level)
     if len(prefix) == n:
-        return combination_keys(prefix, level, num, den, flags)
+        return combination_keys(prefix, level, num, den, kinds)
     keys = _keys(prefix, level)
-    rare = keys[~flags[_places(keys)]][:need]
+    rare = keys[kinds[_places(keys)] == 0][:need]
     return rare if len(rare) == need else None
 
 
 @frees
-def _plain_rows(batches: Iterator[pa.RecordBatch], num: int, den: int, marked: bytes | None) -> Iterator[pa.RecordBatch]:
-    """Index rows of the sets whose kept tokens are enough: in hash order, or with a map the rare tokens first."""
-    flags = None if marked is None else np.unpackbits(np.frombuffer(marked, np.uint8), bitorder="little").view(bool)
+def _counted(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """(key, v): each key in hash order, v 1, and 2^32 more if the set stands for its component."""
     for batch in batches:
-        keys, gids, comps = [], [], []
-        for gid, n, comp, prefix in zip(*(batch.column(c).to_pylist() for c in ("gid", "n", "comp")), _lists(batch.column("prefix")), strict=True):
+        keys, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for own, n, prefix in zip(pc.equal(batch.column("gid"), batch.column("comp")).to_pylist(), batch.column("n").to_pylist(), _lists(batch.column("prefix")), strict=True):
             for level in _levels(n, num, den):
-                k = _marked_keys(prefix.view(np.uint64), n, level, num, den, flags)
-                if k is not None:
-                    keys.append(k.view(np.int64))
-                    gids.append(np.full(len(k), gid, np.int64))
-                    comps.append(np.full(len(k), comp, np.int64))
-        if keys:
-            yield pa.record_batch([pa.array(np.concatenate(c)) for c in (keys, gids, comps)], names=["key", "gid", "comp"])
+                k = _keys(prefix.view(np.uint64)[: _prefix_length(n, num, den)], level)
+                keys.append(k.view(np.int64))
+                values.append(np.full(len(k), 1 + (own << 32), np.int64))
+        yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(values))], names=["key", "v"])
+
+
+@frees
+def _changed(batches: Iterator[pa.RecordBatch], num: int, den: int, maps: tuple[bytes, ...]) -> Iterator[pa.RecordBatch]:
+    """(key, gid, level): keys beyond the plain prefix that sets with frequent tokens have instead; a null key: the kept tokens are too few."""
+    kinds = _kinds(maps)
+    for batch in batches:
+        out: list[tuple] = []
+        for gid, n, prefix in zip(batch.column("gid").to_pylist(), batch.column("n").to_pylist(), _lists(batch.column("prefix")), strict=True):
+            for level in _levels(n, num, den):
+                k = _marked_keys(prefix.view(np.uint64), n, level, num, den, kinds)
+                if k is None:
+                    out.append((None, gid, level))
+                else:
+                    plain = _keys(prefix.view(np.uint64)[: _prefix_length(n, num, den)], level)
+                    if len(k) != len(plain) or (k != plain).any():
+                        out += [(x, gid, level) for x in np.setdiff1d(k, plain).view(np.int64).tolist()]
+        types = (pa.int64(), pa.int64(), pa.int32())
+        yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["key", "gid", "level"])
 
 
-def _wanting_sets(batches: Iterator[pa.RecordBatch], num: int, den: int, marked: bytes) -> Iterator[pa.RecordBatch]:
-    """gid, level of the sets whose kept tokens are too few: they need their texts."""
-    flags = np.unpackbits(np.frombuffer(marked, np.uint8), bitorder="little").view(bool)
+@frees
+def _index_rows(batches: Iterator[pa.RecordBatch], num: int, den: int, maps: tuple[bytes, ...], wanted: bytes, whole: bool) -> Iterator[pa.RecordBatch]:
+    """Index rows with a wanted key: key, gid, comp, and for whole rows n, small. Sets whose kept tokens are too few are left out."""
+    kinds = _kinds(maps)
     for batch in batches:
-        found = [
-            (gid, level)
-            for gid, n, prefix in zip(batch.column("gid").to_pylist(), batch.column("n").to_pylist(), _lists(batch.column("prefix")), strict=True)
-            for level in _levels(n, num, den)
-            if _marked_keys(prefix.view(np.uint64), n, level, num, den, flags) is None
-        ]
-        yield pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int32())], names=["gid", "level"])
+        keys, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, (n, prefix) in enumerate(zip(batch.column("n").to_pylist(), _lists(batch.column("prefix")), strict=True)):
+            for level in _levels(n, num, den):
+                k = _marked_keys(prefix.view(np.uint64), n, level, num, den, kinds)
+                if k is not None:
+                    keys.append(k.view(np.int64))
+                    at.append(np.full(len(k), i, np.int64))
+        key, row = np.concatenate(keys), np.concatenate(at)
+        met = hits(key, wanted)
+        key, row = key[met], pa.array(row[met])
+        names = ["gid", "comp", "n", "small"] if whole else ["gid", "comp"]
+        yield pa.record_batch([pa.array(key), *(batch.column(c).take(row) for c in names)], names=["key", *names])
 
 
 @frees
-def _combination_rows(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int, marked: bytes) -> Iterator[pa.RecordBatch]:
-    """Index rows of sets with frequent tokens: single rare tokens, and pairs of frequent tokens of one class."""
-    flags = np.unpackbits(np.frombuffer(marked, np.uint8), bitorder="little").view(bool)
+def _combination_rows(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int, maps: tuple[bytes, ...]) -> Iterator[pa.RecordBatch]:
+    """Index rows of the sets whose kept tokens were too few: key, gid, comp, n, small."""
+    kinds = _kinds(maps)
     for batch in batches:
-        gids, comps, levels, at = *(batch.column(c).to_pylist() for c in ("gid", "comp", "level")), 0
+        levels, at = batch.column("level").to_pylist(), 0
         for part in shingles(batch.column("text"), width):
-            keys, owners, their = [], [], []
-            for h in part:
-                k = combination_keys(h, levels[at], num, den, flags)
-                keys.append(k.view(np.int64))
-                owners.append(np.full(len(k), gids[at], np.int64))
-                their.append(np.full(len(k), comps[at], np.int64))
-                at += 1
-            yield pa.record_batch([pa.array(np.concatenate(c)) for c in (keys, owners, their)], names=["key", "gid", "comp"])
+            keys = [combination_keys(h, levels[at + i], num, den, kinds).view(np.int64) for i, h in enumerate(part)]
+            row = pa.array(np.repeat(np.arange(at, at + len(part)), [len(k) for k in keys]))
+            at += len(part)
+            yield pa.record_batch([pa.array(np.concatenate(keys)), *(batch.column(c).take(row) for c in ("gid", "comp", "n", "small"))], names=["key", "gid", "comp", "n", "small"])
 
 
-def combination_keys(h: np.ndarray, level: int, num: int, den: int, flags: np.ndarray) -> np.ndarray:
+def _classes(level: int, num: int, den: int) -> tuple[int, int]:
+    """How many classes the frequent and the very frequent tokens of a level have: a set can always cover what it must."""
+    two = max(1, (1 << level) * (den - num) // (2 * den))
+    return two, max(1, min(two, ((1 << level) * num // den - two - 2) // 2))
+
+
+def combination_keys(h: np.ndarray, level: int, num: int, den: int, kinds: np.ndarray | None) -> np.ndarray:
     """The keys of one sorted set at one level; see the module's text."""
     need = _prefix_length(len(h), num, den)
     keys = _keys(h, level)
-    frequent = flags[_places(keys)] if level >= LEAST_LEVEL else np.zeros(len(h), bool)
-    rare = keys[~frequent][:need]
-    if len(rare) >= need:
-        return rare
-    classes = max(1, (1 << level) * (den - num) // (2 * den))
-    f = keys[frequent]
-    of = (f % np.uint64(classes)).astype(np.int64)
-    by_class = np.argsort(of, kind="stable")
-    first = np.ones(len(f), bool)
-    first[by_class[1:]] = of[by_class[1:]] != of[by_class[:-1]]
-    covered = len(rare) + np.cumsum(~first)
-    upto = int(np.searchsorted(covered, need)) + 1
-    if upto > len(f):
+    kind = kinds[_places(keys)] if kinds is not None and level >= LEAST_LEVEL else np.zeros(len(h), np.uint8)
+    rare = keys[kind == 0][:need]
+    out, covered = [rare], len(rare)
+    for k, classes in zip((2, 3), _classes(level, num, den), strict=True):
+        f = keys[kind == k - 1]
+        if covered >= need or not len(f):
+            continue
+        of = (f % np.uint64(classes)).astype(np.int64)
+        by_class = np.argsort(of, kind="stable")
+        starts = np.flatnonzero(np.diff(of[by_class], prepend=-1))
+        rank = np.empty(len(f), np.int64)
+        rank[by_class] = np.arange(len(f)) - np.repeat(starts, np.diff(starts, append=len(f)))
+        so_far = covered + np.cumsum(rank >= k - 1)
+        upto = min(len(f), int(np.searchsorted(so_far, need)) + 1)
+        covered = int(so_far[upto - 1])
+        taken = by_class[by_class < upto]
+        group, token = of[taken], f[taken]
+        for lag in range(1, int(rank[taken].max()) + 1):
+            same = group[lag:] == group[:-lag]
+            pairs = mix(token[:-lag][same] * _A + token[lag:][same] * _B)
+            if k == 2:
+                out.append(pairs)
+                continue
+            for more in range(1, int(rank[taken].max()) + 1 - lag):
+                third = np.flatnonzero(same[: len(token) - lag - more] & (group[lag + more :] == group[: -lag - more]))
+                place = (np.cumsum(same) - 1)[third]
+                out.append(mix(pairs[place] * _A + token[third + lag + more] * _B + _LEVEL))
+    if covered < need:
         raise ValueError("the similarity is too low for this number of classes")
-    taken = by_class[by_class < upto]
-    group, token = of[taken], f[taken]
-    pairs, lag = [], 1
-    while (same := group[lag:] == group[:-lag]).any():
-        pairs.append(mix(token[:-lag][same] * _A + token[lag:][same] * _B))
-        lag += 1
-    return np.concatenate([rare, *pairs])
+    return np.concatenate(out)
 
 
 def _lists(column: pa.Array) -> list[np.ndarray]:
@@ -214,7 +261,7 @@ def _runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table
 def _candidates(batches: Iterator[pa.RecordBatch], num: int, den: int, forest: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of a bucket that the parity bitmaps can't rule out, between different components.
 
-    forest: for each set its first such partner only. Rows come sorted by (key, low, high); low and high are the block
+    forest: for each set its nearest such partner only. Rows come sorted by (key, low, high); low and high are the block
     pair of a large bucket, block the row's own.
     """
     by = ["key", "low", "high"]
@@ -287,9 +334,8 @@ def _pairs(n, gid, comp, block, parity, num: int, den: int, forest: bool) -> lis
         if block is not None:
             near &= block[i:j, None] != block[None, i:end]
         if forest:
-            has = near.any(axis=0)
-            y = np.flatnonzero(has)
-            x = near[:, y].argmax(axis=0)
+            y = np.flatnonzero(near.any(axis=0))
+            x = np.where(near[:, y], apart[:, y], np.iinfo(np.int32).max).argmin(axis=0)
         else:
             x, y = np.nonzero(near)
         if len(x):
@@ -309,15 +355,16 @@ def _folded(bits: np.ndarray, size: int) -> np.ndarray:
 @frees
 def _verified(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        left = (h for p in shingles(batch.column("text_a"), width) for h in p)
-        right = (h for p in shingles(batch.column("text_b"), width) for h in p)
-        linked = []
-        for x, y in zip(left, right, strict=True):
-            both = np.concatenate([x, y])
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            linked.append(den * shared >= num * (len(x) + len(y) - shared) and shared > 0)
-        mask = pa.array(linked, pa.bool_())
+        linked = np.ones(batch.num_rows, bool)
+        for family in (0, 1):
+            left = (h for p in shingles(batch.column("text_a"), width, family) for h in p)
+            right = (h for p in shingles(batch.column("text_b"), width, family) for h in p)
+            for i, (x, y) in enumerate(zip(left, right, strict=True)):
+                both = np.concatenate([x, y])
+                both.sort()
+                shared = int((both[1:] == both[:-1]).sum())
+                linked[i] &= den * shared >= num * (len(x) + len(y) - shared) and shared > 0
+        mask = pa.array(linked)
         yield pa.record_batch([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
 
@@ -338,54 +385,96 @@ def link(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Data
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.withColumn("text_id", F.xxhash64("doc_id", "text"))
-    sets = keep(
-        texts.mapInArrow(
-            partial(_features, width=width, num=num, den=den),
-            "doc_id long, text_id long, n long, s1 long, s2 long, parity binary, small binary, prefix array<long>",
-        ),
-        "sets",
+    sets = texts.mapInArrow(
+        partial(_features, width=width, num=num, den=den),
+        "doc_id long, text_id long, n long, s1 long, s2 long, parity binary, small binary, least array<long>, prefix array<long>",
     )
-    groups = sets.where("n > 0").groupBy("s1", "s2", "n").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_id")).alias("text"), F.first("parity").alias("parity"), F.first("small").alias("small"), F.first("prefix").alias("prefix")
-    )
-    groups = keep(groups.withColumn("gid", F.monotonically_increasing_id()), "groups")
+    sets = keep(sets.withColumn("gid", F.monotonically_increasing_id()), "sets")
+    rows = keep(sets.select("gid", "doc_id", "text_id", "n", "s1", "s2"), "rows")
+    named = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_id", "gid")
+    classes = keep(rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(named).alias("text"), F.count("*").alias("copies")), "classes")
+    several = classes.where("copies > 1").select("s1", "s2", "n", F.col("text.gid").alias("first"))
+    copies = keep(near(rows.select("gid", "s1", "s2", "n"), several, ["s1", "s2", "n"], salt="gid").where("gid <> first").select("gid"), "copies")
 
     # 2. the quick round
-    least = groups.select(F.explode(F.array_distinct(F.slice("prefix", 1, 2))).alias("key"), "gid", "n", F.col("gid").alias("comp"), "small")
-    sizes = least.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
-    pairs = keep(_meet(least.drop("small").join(sizes, "key"), groups, num, den, forest=True), "pairs")
-    edges = _verify(pairs, groups, texts, width, num, den)
+    heads = sets.where("n > 0").select("gid", F.col("gid").alias("comp"), "n", "small", "least")
+    named_by, gone = F.xxhash64("gid"), bitmap_of(copies, F.xxhash64("gid"))
+    heads = sift(heads, named_by, gone, hit=False).unionByName(sift(heads, named_by, gone).join(copies.hint("merge"), "gid", "left_anti"))
+    least = heads.select(F.explode(F.array_distinct("least")).alias("key"), "gid", "comp", "n", "small")
+    sizes = keep(least.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), "sizes")
+    dealt = _dealt(sift(least, F.col("key"), bitmap_of(sizes, F.col("key"))), sizes, forest=True)
+    pairs = keep(_meet(dealt, sets, num, den, forest=True), "pairs")
+    edges = _verify(pairs, rows, texts, width, num, den)
     merged = components(edges)
-
-    # 3. the full index
-    of = merged.toDF("gid", "root")
-    sized = groups.join(of, "gid", "left").select("gid", "n", "text", "prefix", F.coalesce("root", "gid").alias("comp"))
-    # how many components have a token, by its place in the map: one set stands for each component
-    roots = sized.where("gid = comp").select("gid", "n", "comp", "prefix").mapInArrow(partial(_plain_rows, num=num, den=den, marked=None), "key long, gid long, comp long")
-    places = roots.select(F.expr(f"cast(shiftright(key, 20) & {MAP_BITS - 1} as int)").alias("place"))
-    marked = _map(places.groupBy("place").agg(F.count("*").alias("rows")).where(F.col("rows") > FREQUENT))
-    affected = sized.select("gid", "n", "prefix").mapInArrow(partial(_wanting_sets, num=num, den=den, marked=marked), "gid long, level int")
-    affected = keep(affected.join(sized, "gid").select("gid", "level", "comp", "text.text_id", F.col("text.doc_id").alias("rep_id")), "affected")
-    found = _texts(texts, affected).select("gid", "level", "comp", "text")
-    combined = found.mapInArrow(partial(_combination_rows, width=width, num=num, den=den, marked=marked), "key long, gid long, comp long")
-    plain = sized.select("gid", "n", "comp", "prefix").mapInArrow(partial(_plain_rows, num=num, den=den, marked=marked), "key long, gid long, comp long")
-    rows = keep(plain.unionAll(combined), "index")
-    counted = _mixed(rows)
+    forget(sizes, pairs)
+
+    # 3. the index
+    changes = copies.select("gid", F.lit(None).cast("long").alias("root"), F.lit(True).alias("copy")).unionAll(merged.toDF("gid", "root").withColumn("copy", F.lit(False)))
+    changes = keep(changes, "changes")
+    kept = sets.where("n > 0").select("gid", "n", "small", "parity", "prefix")
+    marked = bitmap_of(changes, F.xxhash64("gid"))
+    known = sift(kept, named_by, marked).join(changes.hint("merge"), "gid", "left").where("copy is null or not copy").drop("copy")
+    groups = sift(kept, named_by, marked, hit=False).withColumn("root", F.lit(None).cast("long")).unionByName(known)
+    groups = keep(groups.select("gid", "n", "small", "parity", "prefix", F.coalesce("root", "gid").alias("comp")), "groups")
+    forget(sets, changes, copies)
+    tokens = groups.select("gid", "comp", "n", "prefix")
+    counts = tokens.mapInArrow(partial(_counted, num=num, den=den), "key long, v long").groupBy("key").agg(F.sum("v").alias("v"))
+    counts = keep(counts.where(f"v & {(1 << 32) - 1} > 1").select("key", F.shiftright("v", 32).alias("holders")), "counts")
+    place = F.expr(f"cast(shiftright(key, 20) & {MAP_BITS - 1} as int)").alias("place")
+    maps = tuple(_map(counts.where(F.col("holders") > most).select(place).distinct()) for most in (FREQUENT, VERY))
+    maps = maps if any(maps[0]) else ()
+    needed = counts.select("key")
+    combined = None
+    if maps:
+        changed = keep(tokens.mapInArrow(partial(_changed, num=num, den=den, maps=maps), "key long, gid long, level int"), "changed")
+        needed = needed.unionAll(changed.where("key is not null").select("key"))
+        wanting = changed.where("key is null").select("gid", "level")
+        wanting = keep(near(groups.select("gid", "comp", "n", "small"), wanting, ["gid"]), "wanting")
+        found = _texts(texts, near(rows.select("gid", "text_id", F.col("doc_id").alias("rep_id")), wanting, ["gid"]))
+        combined = found.dropDuplicates(["gid", "level"]).mapInArrow(partial(_combination_rows, width=width, num=num, den=den, maps=maps), "key long, gid long, comp long, n long, small binary")
+        combined = keep(combined, "combined")
+        needed = needed.unionAll(combined.select("key"))
+    shared = bitmap_of(needed, F.col("key"))
+    light = tokens.mapInArrow(partial(_index_rows, num=num, den=den, maps=maps, wanted=shared.bytes(), whole=False), "key long, gid long, comp long")
+    if combined is not None:
+        light = light.unionAll(combined.select("key", "gid", "comp"))
     # buckets with the same rows are one bucket
-    needed = keep(counted.groupBy("rows", "x", "y").agg(F.min("key").alias("key")).select("key", "rows"), "keys")
-    hits = sift(rows, F.col("key"), bitmap_of(needed, F.col("key"))).join(needed, "key").join(groups.select("gid", "n"), "gid").select("key", "gid", "n", "comp", "rows")
-    pairs = keep(_meet(hits, groups, num, den, forest=False), "pairs")
-    forget(rows)
-    more = _verify(pairs, groups, texts, width, num, den)
+    buckets = light.groupBy("key").agg(F.count("*").alias("rows"), F.min("comp").alias("least"), F.max("comp").alias("most"), F.expr("bit_xor(xxhash64(gid))").alias("x")).where("least < most")
+    buckets = keep(buckets.groupBy("rows", "least", "most", "x").agg(F.min("key").alias("key")).select("key", "rows"), "buckets")
+    wanted = bitmap_of(buckets, F.col("key"))
+    index = groups.select("gid", "comp", "n", "small", "prefix").mapInArrow(partial(_index_rows, num=num, den=den, maps=maps, wanted=wanted.bytes(), whole=True), "key long, gid long, comp long, n long, small binary")
+    if combined is not None:
+        index = index.unionAll(sift(combined, F.col("key"), wanted))
+    index = keep(index, "index")
+
+    # 4. a forest over the buckets, then all pairs of what is still apart
+    pairs = keep(_meet(_dealt(index, buckets, forest=True), groups, num, den, forest=True), "pairs")
+    edges = keep(edges.unionAll(_verify(pairs, rows, texts, width, num, den)), "links")
+    merged = components(edges)
+    later = _moved(index, merged)
+    apart = later.groupBy("key").agg(F.count("*").alias("rows"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most")
+    apart = keep(apart.select("key", "rows"), "apart")
+    later = sift(later, F.col("key"), bitmap_of(apart, F.col("key")))
+    again = _meet(_dealt(later, apart, forest=False), groups, num, den, forest=False)
+    again = keep(again.join(pairs.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+    more = _verify(again, rows, texts, width, num, den)
+    forget(groups)
 
     # 5. components of documents
     if not more.isEmpty():
         merged = components(edges.unionAll(more))
-    of = merged.toDF("gid", "root")
-    ids = groups.join(of, "gid", "left").select("s1", "s2", "n", "text", F.coalesce("root", "gid").alias("root"))
-    least_ids = ids.groupBy("root").agg(F.min("text").alias("least"))
-    ids = ids.join(least_ids, "root").select("s1", "s2", "n", "least")
-    out = sets.select("doc_id", "text_id", "n", "s1", "s2").join(ids, ["s1", "s2", "n"], "left").select(
+    heads = classes.select("s1", "s2", "n", "copies", "text", F.col("text.gid").alias("gid"))
+    joined = keep(near(heads, merged.toDF("gid", "root"), ["gid"]), "members")
+    leasts = keep(joined.groupBy("root").agg(F.min("text").alias("least")), "leasts")
+    joined = keep(near(joined.drop("text", "copies", "gid"), leasts, ["root"], salt="s2").select("s1", "s2", "n", "least"), "joined")
+    alone = heads.where("copies > 1").join(joined.select("s1", "s2", "n").hint("merge"), ["s1", "s2", "n"], "left_anti")
+    classed = keep(joined.unionAll(alone.select("s1", "s2", "n", F.col("text").alias("least"))), "classed")
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_id", "gid")
+    single = F.col("s1"), bitmap_of(classed, F.col("s1"))
+    copied = sift(rows, *single)
+    salted = copied.withColumn("salt", F.pmod(F.xxhash64("gid"), F.lit(SALTS)).cast("int")).join(classed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge"), ["s1", "s2", "n", "salt"], "left")
+    out = sift(rows, *single, hit=False).withColumn("least", own).unionByName(salted.drop("salt").withColumn("least", F.coalesce("least", own)))
+    out = out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
@@ -393,19 +482,10 @@ def link(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Data
         ((F.col("n") == 0) | (F.col("text_id") == F.col("least.text_id"))).alias("is_first"),
     )
     out = keep(out, "components")
-    forget(sets)
-    forget(groups)
+    forget(rows, classes, classed, joined, index, counts, buckets, apart, edges, pairs, again, more)
     return out
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """Keys whose rows are of more than one component: how many rows they have, and two hashes that tell which."""
-    counts = rows.groupBy("key").agg(
-        F.count("*").alias("rows"), F.min("comp").alias("least"), F.max("comp").alias("most"), F.expr("bit_xor(xxhash64(gid))").alias("x"), F.expr("bit_xor(xxhash64(gid, 1))").alias("y")
-    )
-    return keep(counts.where("least < most").select("key", "rows", "x", "y"), "keys")
-
-
 def _map(frequent: DataFrame) -> bytes:
     """A bit for each place of frequent(place), MAP_BITS in all, gathered as at most MAP_BITS / 32768 partial maps."""
     parts = frequent.groupBy(F.expr("place div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(cast(place % 32768 as bigint))").alias("bits"))
@@ -415,26 +495,59 @@ def _map(frequent: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def _meet(dealt: DataFrame, groups: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
-    """Candidate pairs a < b of index rows (key, gid, n, comp, rows: how many the key has), buckets dealt evenly.
-
-    A bucket of more than LARGE rows is cut into blocks by a hash of gid. A forest needs no pairs across blocks; else
-    each row goes to the block pairs that its own block is part of.
+@frees
+def _blocked(batches: Iterator[pa.RecordBatch], hot: list[bytes], forest: bool) -> Iterator[pa.RecordBatch]:
+    """Rows with their block pairs: key, low, high, block, gid, comp, n, small. A forest needs no pairs across blocks."""
+    for batch in batches:
+        key = batch.column("key").to_numpy()
+        blocks, still = np.ones(len(key), np.int64), np.ones(len(key), bool)
+        for m in hot:
+            still &= hits(key, m)
+            blocks[still] *= SPLIT
+        block = (mix(batch.column("gid").to_numpy().view(np.uint64)) % blocks.view(np.uint64)).view(np.int64)
+        row, other = np.arange(len(key)), block
+        if not forest:
+            row = np.repeat(row, blocks)
+            other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        own = block[row]
+        columns = [np.minimum(own, other), np.maximum(own, other), own]
+        rest = batch.take(pa.array(row))
+        yield pa.record_batch([rest.column("key"), *(pa.array(c) for c in columns), *(rest.column(c) for c in ("gid", "comp", "n", "small"))], names=["key", "low", "high", "block", "gid", "comp", "n", "small"])
+
+
+def _dealt(rows: DataFrame, sizes: DataFrame, forest: bool) -> DataFrame:
+    """Index rows (key, gid, comp, n, small) dealt to blocks of about LARGE rows or fewer; sizes(key, rows) has the buckets' sizes.
+
+    Bitmaps name the large buckets, so no join moves all rows of a key to one task. A bit that two keys share cuts a
+    small bucket into blocks too, which changes nothing in its pairs.
     """
-    blocks = F.ceil(F.col("rows") / LARGE).cast("int")
-    dealt = dealt.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int"))
-    if forest:
-        dealt = dealt.withColumns({"low": F.col("block"), "high": F.col("block")})
-    else:
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    dealt = dealt.select("key", "low", "high", "block", "gid", "n", "comp").join(groups.select("gid", "small"), "gid")
+    most, blocks, hot = sizes.agg(F.max("rows")).first()[0] or 0, 1, []
+    while most > LARGE * blocks:
+        hot.append(bitmap_of(sizes.where(F.col("rows") > LARGE * blocks), F.col("key")).bytes())
+        blocks *= SPLIT
+    rows = rows.select("key", "gid", "comp", "n", "small")
+    return rows.mapInArrow(partial(_blocked, hot=hot, forest=forest), "key long, low long, high long, block long, gid long, comp long, n long, small binary")
+
+
+def _meet(dealt: DataFrame, sets: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
+    """Candidate pairs a < b of dealt index rows; sets(gid, n, parity) has the whole bitmaps."""
     dealt = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    pairs = dealt.mapInArrow(partial(_candidates, num=num, den=den, forest=forest), "a long, b long").distinct()
-    whole = groups.select("gid", "n", "parity")
+    pairs = keep(dealt.mapInArrow(partial(_candidates, num=num, den=den, forest=forest), "a long, b long").distinct(), "met")
+    asked = keep(pairs.select("a").unionAll(pairs.select("b")).toDF("gid").distinct(), "asked")
+    whole = near(sets.select("gid", "n", "parity"), asked, ["gid"])
     both = pairs.join(whole.toDF("a", "n_a", "parity_a"), "a").join(whole.toDF("b", "n_b", "parity_b"), "b")
     return both.mapInArrow(partial(_narrowed, num=num, den=den), "a long, b long")
 
 
+def _moved(index: DataFrame, merged: DataFrame) -> DataFrame:
+    """Index rows with the components of merged(node, root)."""
+    key = F.xxhash64("gid")
+    bitmap = bitmap_of(merged, F.xxhash64("node"))
+    own = index.drop("comp")
+    known = sift(own, key, bitmap).join(merged.toDF("gid", "comp").hint("merge"), "gid", "left").withColumn("comp", F.coalesce("comp", "gid"))
+    return sift(own, key, bitmap, hit=False).withColumn("comp", F.col("gid")).unionByName(known)
+
+
 @frees
 def _narrowed(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """The pairs that the whole parity bitmaps can't rule out."""
@@ -451,22 +564,23 @@ def _narrowed(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator
 def _texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted(text_id, rep_id, ...) with its texts."""
     key = F.col("text_id")
-    near = sift(texts, key, bitmap_of(wanted, key))
+    some = sift(texts, key, bitmap_of(wanted, key))
     # the ids are compared as a residue, not a key: the rows stay dealt out by text_id alone
-    same = F.size(F.array_intersect(F.array(near["doc_id"]), F.array(wanted["rep_id"]))) == 1
-    return near.join(wanted, "text_id").where(same).drop("doc_id")
+    same = F.size(F.array_intersect(F.array(some["doc_id"]), F.array(wanted["rep_id"]))) == 1
+    return some.join(wanted, "text_id").where(same).drop("doc_id")
 
 
-def _verify(pairs: DataFrame, groups: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs whose sets are linked, by the texts of the two representatives."""
-    wanted = pairs.select(F.col("a").alias("gid")).unionAll(pairs.select(F.col("b").alias("gid"))).distinct()
-    wanted = keep(wanted.join(groups.select("gid", "text"), "gid").select("gid", "text.text_id", F.col("text.doc_id").alias("rep_id")), "wanted")
+def _verify(pairs: DataFrame, rows: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs whose sets are linked, by the texts of the two representatives, named in rows(gid, doc_id, text_id)."""
+    wanted = keep(pairs.select("a").unionAll(pairs.select("b")).toDF("gid").distinct(), "asked")
+    wanted = keep(near(rows.select("gid", "text_id", F.col("doc_id").alias("rep_id")), wanted, ["gid"]), "wanted")
     found = keep(_texts(texts, wanted).dropDuplicates(["text_id", "gid"]).select("gid", "text"), "texts")
     joined = pairs.join(found.toDF("a", "text_a"), "a").join(found.toDF("b", "text_b"), "b")
     links = keep(joined.select("a", "b", "text_a", "text_b").mapInArrow(partial(_verified, width=width, num=num, den=den), "a long, b long"), "links")
-    forget(found)
+    forget(wanted, found)
     return links
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of all documents: shingles of 3 words, 0.9. Nulls, empty texts and so on: see link."""
     return link(table(spark, sf_dir, "documents"), width=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")

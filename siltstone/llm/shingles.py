@@ -15,10 +15,8 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _SEED = np.random.default_rng(20240501)
 _BYTE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _PLACES = _SEED.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[int, np.ndarray] = {}
+_factors: dict[int, np.ndarray] = {}
 #: texts are hashed in parts of so many bytes (or one text): this bounds a worker's memory at about 60 times that
 PART = 1_000_000
 
@@ -30,20 +28,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    known = _powers.get(int(base))
+def _factor(n: int, family: int) -> np.ndarray:
+    """An independent odd factor for each of n places of a word."""
+    known = _factors.get(family)
     if known is None or len(known) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        known = np.multiply.accumulate(steps)
-        if n <= 4 * PART:
-            _powers[int(base)] = known
+        known = mix(np.arange(max(n, 1 << 12), dtype=np.uint64) + np.array([family + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+        if n <= PART:
+            _factors[family] = known
     return known[:n]
 
 
-def shingles(texts: pa.Array, width: int) -> Iterator[list[np.ndarray]]:
+def shingles(texts: pa.Array, width: int, family: int = 0) -> Iterator[list[np.ndarray]]:
     """For each part of the texts, in order: each text's sorted distinct shingle hashes.
 
+    A word's hash is the sum of its bytes' numbers, each times its place's own factor (multilinear, so no structure of
+    the words makes two of them equal); families have independent factors.
+
     A-Z are lower-cased; words are runs without ASCII white space. A text with 1 to width - 1 words has one shingle,
     the whole sequence, that equals no full shingle; one without words (or null) has none.
     """
@@ -55,11 +55,11 @@ def shingles(texts: pa.Array, width: int) -> Iterator[list[np.ndarray]]:
     first = 0
     while first < len(texts):
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PART, "right")) - 1)
-        yield _part(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], width)
+        yield _part(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], width, family)
         first = last
 
 
-def _part(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
+def _part(data: np.ndarray, offsets: np.ndarray, width: int, family: int) -> list[np.ndarray]:
     none = np.zeros(0, np.uint64)
     n_texts = len(offsets) - 1
     if not len(data):
@@ -74,10 +74,11 @@ def _part(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]
     starts = np.flatnonzero(start)
     if not len(starts):
         return [none] * n_texts
-    value = _BYTE[text]
-    value[blank] = 0
-    value *= _power(_BASE, len(data))
-    words = mix(np.add.reduceat(value, starts) * _power(_BASE_INVERSE, len(data))[starts])
+    lengths = np.diff(starts, append=len(data))
+    place = np.arange(len(data) - starts[0]) - np.repeat(starts - starts[0], lengths)
+    value = np.where(blank, np.uint64(0), _BYTE[text])
+    value[starts[0] :] *= _factor(int(lengths.max()), family)[place]
+    words = mix(np.add.reduceat(value, starts))
     bounds = np.searchsorted(starts, offsets)  # words of text i: bounds[i] to bounds[i + 1]
     full = np.zeros(max(0, len(words) - width + 1), np.uint64)
     for j in range(width):
