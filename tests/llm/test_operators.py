@@ -2,9 +2,12 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -253,6 +256,117 @@ def test_main_text(page, text):
     assert extraction.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"), [
+        ("<body><p>first</p></body><p>after</p>", "first after"),
+        ("before<body><p>inside it</p></body>", "before inside it"),
+        ("<article><p>one two</p><div class='ad-hoc'>three</div><div class='related-work'>four</div><p id='share-price'>five</p><div class='ad'>six</div></article>", "one two three four five"),
+        ("<div class='content has-sidebar'><p>long enough a text</p><p>and more</p></div><div class='sidebar'>x</div>", "long enough a text and more"),
+        ("<p>kept</p><a href=\"x>link</a>", "kept link"),
+        ("<form id=all class=form><p>the page is one form</p><p>of two lines</p></form>", "the page is one form of two lines"),
+        ("<article><header><h1>Title</h1></header><p>Body</p><footer>foot</footer></article><div class='comment-list'><p>a</p><p>b</p></div>", "Title Body"),
+        ("<div><p>aaaa bbbb cccc dddd</p><p>eeee ffff gggg</p></div><div><p>hhhh iiii jjjj kkkk</p></div><ul><li><a href=/>x</a></li><li><a href=/>y</a></li></ul>", "aaaa bbbb cccc dddd eeee ffff gggg hhhh iiii jjjj kkkk x y"),
+    ])
+def test_text_by_density(page, text):
+    assert extraction.main_text(page) == text
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<![CDATA[", "<div></i>", "<div><li>", "<a href=\"x>", "<p><b>", "</div>", "<", "<!--", "<title>"])
+def test_odd_pages_take_linear_time(piece):
+    began = time.time()
+    extraction.main_text(piece * (500_000 // len(piece)))
+    assert time.time() - began < 5
+
+
+class SlowPage(HTMLParser):
+    """Another implementation for well-formed pages: nested lists [tag, parts, attributes], densities by recursion."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack = [["body", [], {}]]
+
+    def handle_starttag(self, tag, attributes):
+        if tag == "p":
+            for i in range(len(self.stack) - 1, 0, -1):
+                if self.stack[i][0] == "p":
+                    del self.stack[i:]
+                    break
+        if tag not in ("html", "head", "body"):
+            self.stack[-1][1].append([tag, [], dict(attributes)])
+            if tag not in ("br", "meta"):
+                self.stack.append(self.stack[-1][1][-1])
+
+    def handle_endtag(self, tag):
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i][0] == tag:
+                del self.stack[i:]
+                break
+
+    def handle_data(self, data):
+        self.stack[-1][1].append(data)
+
+
+def slow_text(page):
+    parser = SlowPage()
+    parser.feed(page)
+    off = ("script", "style", "title", "nav", "footer")
+    inline = ("a", "b")
+
+    def counts(x, link=False):
+        if isinstance(x, str):
+            n = len(" ".join(x.split()))
+            return n, 0, n * link, 0
+        if x[0] in ("script", "style", "title"):
+            return 0, 0, 0, 0
+        own = [counts(p, link or x[0] == "a") for p in x[1]]
+        c, t, lc, lt = (sum(o[i] for o in own) for i in range(4))
+        return c, t + (x[0] not in inline or x[0] == "a"), lc, lt + (x[0] == "a")
+
+    root = parser.stack[0]
+    whole = counts(root)
+
+    def density(x):
+        c, t, lc, lt = counts(x)
+        t -= x[0] not in inline or x[0] == "a"
+        if not c or x[0] in ("script", "style", "title"):
+            return 0.0
+        base = math.log(c / max(1, c - lc) * lc + whole[2] / max(1, whole[0]) * c + math.e)
+        adjusted = math.log(max(1.0, c / max(1, lc) * max(1, t) / max(1, lt)))
+        return c / max(1, t) * (adjusted / math.log(base) if base > 1 else adjusted)
+
+    def nodes(x, path):
+        yield sum(density(p) for p in x[1] if not isinstance(p, str) and p[0] not in off and p[2].get("class") != "ad"), x, path
+        for p in x[1]:
+            if not isinstance(p, str) and p[0] not in off and p[2].get("class") != "ad":
+                yield from nodes(p, [*path, x])
+
+    _, best, path = max((n for n in nodes(root, []) if n[1][0] not in inline), key=lambda n: n[0])
+    taken = next((x for x in [*path, best] if x[0] == "article"), best)
+
+    def lines(x):
+        out = [""]
+        for p in x[1]:
+            if isinstance(p, str):
+                out[-1] += p
+            elif p[0] == "br":
+                out[-1] += " "
+            elif p[0] not in off:
+                more = lines(p)
+                if p[0] in inline:
+                    out[-1] += more[0]
+                    out += more[1:]
+                else:
+                    out += [*more, ""]
+        return out
+
+    return " ".join(filter(None, (" ".join(line.split()) for line in lines(taken))))
+
+
+def test_density_against_another_implementation(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        assert extraction.main_text(r.html) == slow_text(r.html)
+
+
 def test_deep_pages_and_odd_rows(spark):
     deep = "<div>" * 3000 + "<p>deep</p>"
     df = spark.createDataFrame([(None, None, None, "t"), (1, "u", deep, "t"), (1, "u", deep, "t")], "page_id long, url string, html string, text string")
