@@ -7,9 +7,7 @@ symbol, so its suffix and its context's own n-gram are bit operations.
 With interpolation the log probability of a position is log(1/V) plus, for each order, the log back-off weight of its
 context and, where the n-gram was seen, log p(n-gram) - log(back-off weight * p(suffix)). So a document's log
 probability is a sum over its own distinct n-grams of their count times one number, and unseen n-grams add nothing.
-Documents are taken in batches; a batch's n-grams, each with the documents that hold it and how often, go to their
-shards (by hash) in packed form, meet the model's numbers there, and come back as one partial sum a document and shard.
-N-grams meet by 64-bit hashes.
+They meet the model's numbers in shards, by 64-bit hashes (see sharded).
 """
 
 from __future__ import annotations
@@ -24,11 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import frees, keep
+from siltstone.llm.sharded import SENT, batched, counted, met, packets, sent_rows, shards_for
 
 ORDER, BORDER, BITS = 4, 0x110000, 21
 MASK = (1 << BITS) - 1
-#: characters and documents in a batch (a longer document is a batch of its own); model rows in a shard, about
-CHARS, DOCS, SHARD = 4_000_000, 8192, 1_000_000
 
 
 def _symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -84,25 +81,10 @@ def _hashed(symbols: list[np.ndarray]) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    """Texts and keys of a batch of documents."""
-    texts, keys, size = [], [], 0
-    for batch in batches:
-        for text, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if texts and (size + len(text or "") > CHARS or len(texts) == DOCS):
-                yield texts, keys
-                texts, keys, size = [], [], 0
-            texts.append(text)
-            keys.append(key)
-            size += len(text or "")
-    if texts:
-        yield texts, keys
-
-
 @frees
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(ctx, sym, n): the n-grams of order 4 of each batch of documents."""
-    for texts, _ in _batched(batches):
+    for texts, _ in batched(batches):
         s, _, place, used = _symbols(texts)
         code, symbols = _coded(s, ORDER, 2**63 - 1)
         code, n = np.unique(code[place[ORDER - 1 :] >= ORDER - 1], return_counts=True)
@@ -158,15 +140,6 @@ def train(texts: DataFrame) -> tuple[DataFrame, float] | None:
     return keep(rows.groupBy("h").agg(F.sum("value").alias("value")), "model"), constant
 
 
-def _planes(a: np.ndarray) -> bytes:
-    return a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
-
-
-def _from_planes(data: bytes, at: int, n: int, kind: str) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T).view(kind).ravel()
-
-
 def _packets(texts: list, shards: int) -> Iterator[tuple[int, bytes]]:
     """(shard, packed n-grams): each distinct n-gram of a batch once, with its documents (as steps) and counts there."""
     s, doc, place, used = _symbols(texts)
@@ -178,93 +151,23 @@ def _packets(texts: list, shards: int) -> Iterator[tuple[int, bytes]]:
         d, at = doc[k - 1 :], place[k - 1 :]
         # contexts of the first position are n-grams of borders alone, once a document
         real = at >= ORDER - 1 if k in (1, ORDER) else (at >= ORDER - 1) | (at == ORDER - 2) & ~empty[d]
-        both = np.sort(code[real] * docs + d[real])
-        first = np.flatnonzero(np.diff(both, prepend=-1))
-        n = np.diff(first, append=len(both))
-        both = both[first]
-        gram, d = both // docs, both % docs
-        begin = np.flatnonzero(np.diff(gram, prepend=-1))
-        step = np.diff(d, prepend=0)
-        step[begin] = d[begin]
-        hashes.append(_hashed([used[x] for x in symbols(gram[begin])]))
-        per.append(np.diff(begin, append=len(gram)))
-        steps.append(step.astype("<u2"))
-        counts.append(n.astype("<u4"))
-    h, per, steps, counts = map(np.concatenate, (hashes, per, steps, counts))
-    shard = h % shards
-    order = np.argsort(shard, kind="stable")
-    h, begin, per, shard = h[order], (np.cumsum(per) - per)[order], per[order], shard[order]
-    ends = np.cumsum(per)
-    moved = np.repeat(begin - (ends - per), per) + np.arange(len(steps))
-    steps, counts = steps[moved], counts[moved]
-    edges = np.searchsorted(shard, np.arange(shards + 1))
-    for i in range(shards):
-        a, b = edges[i], edges[i + 1]
-        if a == b:
-            continue
-        x, y = ends[a] - per[a], ends[b - 1]
-        raw = h[a:b].tobytes() + _planes(per[a:b].astype("<u2")) + _planes(steps[x:y]) + _planes(counts[x:y])
-        yield i, np.array([b - a, y - x, docs], "<i8").tobytes() + pa.compress(raw, "zstd", asbytes=True)
-
-
-def _sums(data: bytes, known: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """A packet's sum for each document of its batch."""
-    n, m, docs = (int(x) for x in np.frombuffer(data, "<i8", 3))
-    raw = pa.decompress(data[24:], n * 10 + m * 6, "zstd", asbytes=True)
-    h = np.frombuffer(raw, "<i8", n)
-    per = _from_planes(raw, 8 * n, n, "<u2").astype(np.int64)
-    steps = _from_planes(raw, 10 * n, m, "<u2").astype(np.int64)
-    counts = _from_planes(raw, 10 * n + 2 * m, m, "<u4")
-    begin = np.cumsum(per) - per
-    doc = np.cumsum(steps)
-    doc -= np.repeat(doc[begin] - steps[begin], per)
-    at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-    value = np.where(known[at] == h, values[at], 0.0) if len(known) else np.zeros(n)
-    return np.bincount(doc, np.repeat(value, per) * counts, docs)
-
-
-_SENT = "shard long, batch long, kind int, value double, data binary"
-
-
-def _sent(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.binary()]
-    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["shard", "batch", "kind", "value", "data"])
+        gram, *rest = counted(code[real], d[real], docs)
+        hashes.append(_hashed([used[x] for x in symbols(gram)]))
+        for column, value in zip((per, steps, counts), rest, strict=True):
+            column.append(value)
+    yield from packets(*map(np.concatenate, (hashes, per, steps, counts)), docs, shards)
 
 
 @frees
 def _asked(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     """Packets (kind 1) and, for each batch, its documents' keys and positions (kind 2)."""
     at = TaskContext.get().partitionId() << 33
-    for texts, keys in _batched(batches):
+    for texts, keys in batched(batches):
         head = np.array([keys, [len(t or "") + 1 for t in texts]], "<i8").tobytes()
-        yield _sent([*((i, at, 1, 0.0, data) for i, data in _packets(texts, shards)), (at % shards, at, 2, 0.0, head)])
+        yield sent_rows([*((i, at, 1, 0.0, data) for i, data in _packets(texts, shards)), (at % shards, at, 2, 0.0, head)])
         at += 1
 
 
-@frees
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (shard, kind): a shard's model rows (kind 0, the hash as batch), its packets, then heads."""
-    at, parts, known, values = None, [], None, None
-    for batch in batches:
-        shard, h, kind, value = (batch.column(i).to_numpy() for i in range(4))
-        cuts = [0, *(np.flatnonzero((np.diff(shard) != 0) | (np.diff(kind) != 0)) + 1), len(shard)]
-        for a, b in zip(cuts, cuts[1:]):
-            if a == b:
-                continue
-            if shard[a] != at:
-                at, parts, known = shard[a], [], None
-            if kind[a] == 0:
-                parts.append((h[a:b].copy(), value[a:b].copy()))
-                continue
-            if known is None:
-                known, values = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0))
-                order = np.argsort(known)
-                known, values = known[order], values[order]
-            for i in range(a, b):
-                data = batch.column(4)[i].as_py()
-                yield _sent([(at, h[i], kind[i], 0.0, _sums(data, known, values).astype("<f8").tobytes() if kind[i] == 1 else data)])
-
-
 def _summed(batches: Iterator[pa.RecordBatch], constant: float) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (batch, kind, shard): a batch's partial sums, then its head."""
     total: np.ndarray | float = 0.0
@@ -281,11 +184,7 @@ def _summed(batches: Iterator[pa.RecordBatch], constant: float) -> Iterator[pa.R
 def perplexities(docs: DataFrame, model: tuple[DataFrame, float]) -> DataFrame:
     """key, perplexity per character, the end included, for docs(text, key); one row a key, which names one text."""
     table, constant = model
-    # more shards than cores, so that all have work; more still where the model is large
-    shards = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-table.count() // SHARD))
-    rows = table.select(F.pmod("h", F.lit(shards)).alias("shard"), F.col("h").alias("batch"), F.lit(0).alias("kind"), "value", F.lit(None).cast("binary").alias("data"))
-    sent = docs.select("text", "key").mapInArrow(partial(_asked, shards=shards), _SENT)
-    met = rows.unionByName(sent).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "batch").mapInArrow(_met, _SENT)
-    back = met.repartition("batch").sortWithinPartitions("batch", "kind", "shard")
-    found = back.mapInArrow(partial(_summed, constant=constant), "key long, perplexity double")
+    shards = shards_for(table)
+    sent = docs.select("text", "key").mapInArrow(partial(_asked, shards=shards), SENT)
+    found = met(table, sent, shards).mapInArrow(partial(_summed, constant=constant), "key long, perplexity double")
     return keep(found.groupBy("key").agg(F.max("perplexity").alias("perplexity")), "perplexities")

@@ -38,6 +38,13 @@ def _factor(n: int, family: int) -> np.ndarray:
     return known[:n]
 
 
+def multilinear(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A hash of each run of bytes that begins at one of the starts (the first is 0) and ends at the next."""
+    lengths = np.diff(starts, append=len(data))
+    place = np.arange(len(data)) - np.repeat(starts, lengths)
+    return mix(np.add.reduceat(_BYTE[data] * _factor(int(lengths.max()), 0)[place], starts))
+
+
 def shingles(texts: pa.Array, width: int, family: int = 0) -> Iterator[list[np.ndarray]]:
     """For each part of the texts, in order: each text's sorted distinct shingle hashes.
 

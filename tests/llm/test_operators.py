@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-from siltstone.llm import chat, decontamination, extraction, fixity, jaccard_join, kneser_ney, nearest, packing, quality, token_counts, toxicity  # noqa: E402
+from siltstone.llm import chat, decontamination, extraction, fixity, jaccard_join, kneser_ney, nearest, packing, quality, sharded, token_counts, toxicity  # noqa: E402
 from siltstone.llm.common import without  # noqa: E402
 from siltstone.llm.components import components  # noqa: E402
 
@@ -183,6 +183,19 @@ def test_counts_match_the_library(spark):
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((t or "").encode()), n > 5)
 
 
+def test_counts_of_whole_documents(spark):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.unionByName(docs.limit(3)).unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    want = sorted((-1 if r.doc_id is None else r.doc_id, len((r.text or "").encode()), len(model.encode(r.text or ""))) for r in docs.collect())
+    got = token_counts.count_tokens(docs, path).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_tokens) for r in got) == want
+    assert token_counts.count_tokens(docs.limit(0), path).count() == 0
+
+
 def test_packing_covers_every_id(spark):
     from tokenizers import Tokenizer
 
@@ -489,7 +502,7 @@ def test_packets_hold_every_count():
         n, m, docs = np.sum([np.frombuffer(p, "<i8", 3) for p in packets.values()], axis=0)
         assert docs == len(texts) * len(packets)
         every = np.array(sorted({int(h) for i, p in packets.items() for h in np.frombuffer(pa.decompress(p[24:], int(np.frombuffer(p, "<i8", 2) @ [10, 6]), "zstd", asbytes=True), "<i8", int(np.frombuffer(p, "<i8", 1)[0]))}))
-        sums = sum(kneser_ney._sums(p, every, np.ones(len(every))) for p in packets.values())
+        sums = sum(sharded.sums(p, every, np.ones(len(every))) for p in packets.values())
         assert n == len(every) and sums.tolist() == [4 * (len(t or "") + 1) + 2 * bool(t) for t in texts]
 
 
@@ -562,3 +575,18 @@ def test_rows_of_one_id_take_one_place(spark, monkeypatch, size):
     expected = sorted(best, key=lambda i: (-best[i], i))[:20]
     got = nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
     assert [r.vec_id for r in got] == expected and [r.score for r in got] == [best[i] for i in expected]
+
+
+def test_nearest_of_huge_components_and_many_rows_of_one_id(spark):
+    rng = np.random.default_rng(5)
+    rows = [(7, (rng.normal(size=4) * 3).tolist()) for _ in range(30)] + [(i, rng.normal(size=4).tolist()) for i in range(40)]
+    rows += [(100 + i, (rng.normal(size=4) * 1e200).tolist()) for i in range(3)]
+    got = nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id").isin(0, 100), 5)
+    got = {q: [r.vec_id for r in got.where(F.col("query_id") == q).orderBy("rank").collect()] for q in (0, 100)}
+    for q, found in got.items():
+        own, scores = next(v for i, v in rows if i == q), {}
+        for i, v in rows:
+            if i != q:
+                with np.errstate(all="ignore"):
+                    scores[i] = max(scores.get(i, -np.inf), float((np.array(own) * np.array(v)).sum()))
+        assert found == [i for _, i in sorted((-s, i) for i, s in scores.items())][:5]
