@@ -1,7 +1,8 @@
 """Nearest neighbours by inner product: a block matrix join of int8 tiles with exact error bounds.
 
-Vectors are packed into blocks of rows. A tile is one block of candidates against one block of queries; a task takes a
-block of queries through a lane of candidate blocks, one at a time. Inside a tile both sides are quantised to int8 with one scale a vector; the integer product is exact (float32 sums of integers
+Vectors are packed into blocks of rows, as float32 where that is exact. A task takes a large block of queries through a
+lane of candidate blocks, one at a time, in tiles of a part of the queries; every candidate is sent once for each block
+of queries, 8192 of them. Inside a tile both sides are quantised to int8 with one scale a vector; the integer product is exact (float32 sums of integers
 below 2^24, or float64 beyond), and |x.y - X.Y| <= |X||e_y| + |e_x||Y| + |e_x||e_y| bounds its error, X and Y being the
 quantised vectors and e the remainders. Only pairs whose upper bound reaches the k-th id's lower bound, and the k-th
 best id so far, are computed again, from the original floats in double precision. Each lane keeps a heap of k ids a query, and
@@ -23,12 +24,12 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import keep, table
 
-#: vectors in a block of candidates, in a block of queries
-CANDIDATES, QUERIES = 2048, 512
+#: vectors in a block of candidates, in a block of queries, and of these in a tile
+CANDIDATES, QUERIES, TILE = 2048, 8192, 512
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Rows (ids, dimension, data) of up to `size` usable vectors of one dimension: ids as int64, data as float64."""
+    """Rows (ids, dimension, data) of up to `size` usable vectors of one dimension: ids as int64, data as float32 if that is exact, else float64."""
     held: dict[int, list[tuple[int, np.ndarray]]] = {}
     part, at = TaskContext.get().partitionId() << 33, 0
 
@@ -37,7 +38,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         rows = held.pop(dimension)
         at += 1
         ids = np.array([i for i, _ in rows], "<i8").tobytes()
-        data = np.stack([v for _, v in rows]).astype("<f8").tobytes()
+        data = np.stack([v for _, v in rows])
+        with np.errstate(over="ignore"):
+            short = data.astype("<f4")
+        data = (short if (short == data).all() else data.astype("<f8")).tobytes()
         return pa.record_batch([pa.array([part + at]), pa.array([dimension]), pa.array([ids], pa.binary()), pa.array([data], pa.binary())], names=["block", "dimension", "ids", "data"])
 
     for batch in batches:
@@ -60,38 +64,40 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     scale[scale == 0] = 1  # so small that the division underflows: all is remainder
     q = np.clip(np.rint(x / scale[:, None]), -127, 127).astype(np.int8)
     back = q * scale[:, None]
-    return q, scale, np.linalg.norm(back, axis=1), np.linalg.norm(x - back, axis=1)
+    with np.errstate(over="ignore"):
+        return q, scale, np.linalg.norm(back, axis=1), np.linalg.norm(x - back, axis=1)
 
 
 def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Inner products row by row, in an order of summation that doesn't depend on the other rows."""
-    return (x * y).sum(axis=1)
+    with np.errstate(all="ignore"):
+        return (x * y).sum(axis=1)
 
 
-def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, so_far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """rows of q, candidate ids and scores: what may be among each query's k best, its own id aside.
+def tile(q_ids: np.ndarray, q: tuple, c_ids: np.ndarray, c: tuple, k: int, so_far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """rows of q and of c that may be among each query's k best, its own id aside.
 
-    so_far: the score of each query's k-th best id from earlier tiles.
+    q, c: what quantised() gives; c_ids are sorted. so_far: the score of each query's k-th best id from earlier tiles.
+    Bounds that overflow say nothing: such pairs are computed again.
     """
-    order = np.argsort(c_ids, kind="stable")
-    c_ids, c = c_ids[order], c[order]
-    qq, qs, qn, qe = quantised(q)
-    cq, cs, cn, ce = quantised(c)
-    kind = np.float32 if q.shape[1] * 127 * 127 < 2**24 else np.float64
-    near = (qq.astype(kind) @ cq.astype(kind).T).astype(np.float64) * qs[:, None] * cs[None, :]
-    slack = qn[:, None] * ce[None, :] + qe[:, None] * (cn + ce)[None, :]
-    slack += 1e-12 * (qn + qe)[:, None] * (cn + ce)[None, :]  # rounding of the sums themselves
+    (qq, qs, qn, qe), (cq, cs, cn, ce) = q, c
+    kind = np.float32 if qq.shape[1] * 127 * 127 < 2**24 else np.float64
+    with np.errstate(all="ignore"):
+        near = (qq.astype(kind) @ cq.astype(kind).T).astype(np.float64) * qs[:, None] * cs[None, :]
+        slack = qn[:, None] * ce[None, :] + qe[:, None] * (cn + ce)[None, :]
+        slack += 1e-12 * (qn + qe)[:, None] * (cn + ce)[None, :]  # rounding of the sums themselves
+        low, high = near - slack, near + slack
     own = q_ids[:, None] == c_ids[None, :]
-    low = np.where(own, -np.inf, near - slack)
+    low[own | ~np.isfinite(low)] = -np.inf
+    high[np.isnan(high)] = np.inf
     # bounds count ids, not rows: rows of one id are one candidate
     first = np.flatnonzero(np.concatenate([[True], c_ids[1:] != c_ids[:-1]]))
     n = len(first)
     if n < len(c_ids):
         low = np.maximum.reduceat(low, first, axis=1)
-    least = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(q), -np.inf)
+    least = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(q_ids), -np.inf)
     least = np.maximum(least, so_far)
-    rows, columns = np.nonzero((near + slack >= least[:, None]) & ~own)
-    return rows, c_ids[columns], _exact(q[rows], c[columns])
+    return np.nonzero((high >= least[:, None]) & ~own)
 
 
 def _best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -120,16 +126,23 @@ def _lanes(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
 
     for batch in batches:
         for kind, d, i, x in zip(*(batch.column(c).to_pylist() for c in ("kind", "dimension", "ids", "data")), strict=True):
-            ids, data = np.frombuffer(i, "<i8"), np.frombuffer(x, "<f8").reshape(-1, d)
+            ids = np.frombuffer(i, "<i8")
+            data = np.frombuffer(x, "<f4" if len(x) == 4 * d * len(ids) else "<f8").reshape(-1, d).astype(np.float64)
             if kind == 0:
                 if state is not None:
                     yield finished()
                 none = np.zeros(0, np.int64)
-                state = ids, data, (none, none, np.zeros(0), np.full(len(ids), -np.inf))
-            else:
-                q_ids, q, held = state
-                got = tile(q_ids, q, ids, data, k, held[3])
-                state = q_ids, q, _best(*(np.concatenate(pair) for pair in zip(held[:3], got, strict=True)), len(q_ids), k)
+                state = ids, (data, quantised(data)), (none, none, np.zeros(0), np.full(len(ids), -np.inf))
+                continue
+            q_ids, (q, short), held = state
+            order = np.argsort(ids, kind="stable")
+            ids, data = ids[order], data[order]
+            c, found = quantised(data), [held[:3]]
+            for at in range(0, len(q_ids), TILE):
+                here = slice(at, at + TILE)
+                rows, columns = tile(q_ids[here], tuple(y[here] for y in short), ids, c, k, held[3][here])
+                found.append((rows + at, ids[columns], _exact(q[rows + at], data[columns])))
+            state = q_ids, (q, short), _best(*(np.concatenate(parts) for parts in zip(*found, strict=True)), len(q_ids), k)
     if state is not None:
         yield finished()
 
@@ -140,7 +153,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     Nearness is the largest inner product in double precision; ties go to the smaller vec_id; a query isn't its own
     candidate, nor is another row of the same id. Null ids, and vectors that are null, empty, zero or hold null or
     non-finite components take no part. Vectors of different dimension never meet. Rows repeated under one id are one
-    query and one candidate, scored by the best of its rows. Fewer than k candidates: all. No vectors: no rows.
+    query and one candidate, scored by the best of its rows. Scores may overflow to an infinity; what is no number then
+    comes last. Long vectors are read whole; other columns are ignored. Fewer than k candidates: all. No vectors: no rows.
     """
     spark = vectors.sparkSession
     usable = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), is_query.alias("is_query")).distinct()
@@ -170,9 +184,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     finally:
         spark.conf.set(batch, before)
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.isnan("score"), F.desc("score"), "vec_id")).cast("int")
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all embeddings to those whose vec_id is divisible by 20; nulls, ties and so on: see nearest."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
