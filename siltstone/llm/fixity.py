@@ -72,13 +72,14 @@ def laid_out(pages: DataFrame, records: int = RECORDS) -> DataFrame:
 
 
 def _levels(records: DataFrame, top: int, span: int) -> list[DataFrame]:
-    """(file, node, hash) of each level: 0 the ranges, `top` the roots."""
+    """(file, node, hash) of each level: 0 the ranges, `top` the roots. Each is written once, for the next and the descent."""
     # a range holds at most `span` record starts, a node FAN children: both lists are bounded
     leaves = F.sha2(F.concat_ws(";", F.transform(F.array_sort(F.collect_list(F.struct("offset", "length", "digest"))), lambda r: F.concat_ws(":", r["offset"], r["length"], r["digest"]))), 256)
-    nodes = [records.groupBy("file", F.expr(f"offset div {span}").alias("node")).agg(leaves.alias("hash"))]
+    nodes = [keep(records.groupBy("file", F.expr(f"offset div {span}").alias("node")).agg(leaves.alias("hash")), "level")]
     for _ in range(top):
         joined = F.concat_ws(";", F.transform(F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda r: F.concat_ws(":", r["node"], r["hash"])))
-        nodes.append(nodes[-1].groupBy("file", F.expr(f"node div {FAN}").alias("parent")).agg(F.sha2(joined, 256).alias("hash")).withColumnRenamed("parent", "node"))
+        above = nodes[-1].groupBy("file", F.expr(f"node div {FAN}").alias("parent")).agg(F.sha2(joined, 256).alias("hash")).withColumnRenamed("parent", "node")
+        nodes.append(keep(above, "level"))
     return nodes
 
 
