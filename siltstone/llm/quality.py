@@ -42,6 +42,8 @@ class Band:
     #: a language with fewer trusted documents uses the quantiles of all languages
     least: int = 50
     accuracy: int = 10_000
+    #: of so many trusted texts one sets the bands and isn't fitted
+    apart: int = 3
 
 
 @dataclass(frozen=True)
@@ -190,12 +192,15 @@ def _graded(docs: DataFrame, labels: DataFrame, band: Band) -> DataFrame:
     ids = keyed.select("doc_id").unionByName(wanted).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
     if ids.a is not None and ids.b - ids.a >= bitmap.size:  # else each id has a bit of its own, and no text is shuffled
         trusted = trusted.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
-    model = kneser_ney.train(trusted.select("text", "key"))
+    # the model isn't fitted on the texts that set the bands, where there are enough
+    apart = F.pmod(F.col("key"), F.lit(band.apart)) == 0
+    enough = trusted.where(apart).limit(band.least).count() == band.least
+    model = kneser_ney.train((trusted.where(~apart) if enough else trusted).select("text", "key"))
     if model is None:
         return base.withColumns({"grade_key": _key(), "perplexity": F.lit(1.0), "low": F.lit(0.0), "high": F.lit(float("inf")), "keep": F.lit(True)})
     scores = kneser_ney.perplexities(keyed, model)
     forget(model[0])
-    own = trusted.select("key", F.coalesce("lang", F.lit("")).alias("tongue")).join(scores.hint("shuffle_hash"), "key")
+    own = (trusted.where(apart) if enough else trusted).select("key", F.coalesce("lang", F.lit("")).alias("tongue")).join(scores.hint("shuffle_hash"), "key")
     own = keep(own.select("tongue", F.col("perplexity").alias("p")), "trusted_perplexity")
     edges = F.percentile_approx("p", [band.low, band.high], band.accuracy)
     whole = own.agg(edges.alias("q")).first().q
@@ -218,7 +223,7 @@ def grade(docs: DataFrame, labels: DataFrame, band: Band = Band()) -> DataFrame:
 
     Trusted texts are those of documents that labels(doc_id, quality) gives quality 1; null labels and ids don't count.
     Without trusted texts every document is kept. A null lang is a language of its own. Null and empty texts hold no
-    evidence and are kept; short ones meet a wide band. low and high are those of a document's own length. Repeated
+    evidence and are kept; short ones meet a wide band; very long ones are read whole. Equal texts get equal grades. low and high are those of a document's own length. Repeated
     rows are graded each; an empty table gives an empty result; clashing columns with these names are replaced. The
     columns that are read later are shuffled; clean() leaves texts where they are.
     """
@@ -232,5 +237,6 @@ def clean(docs: DataFrame, labels: DataFrame, band: Band = Band()) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lang, perplexity, low, high, keep of all documents; nulls, short texts and so on: see grade."""
     graded = grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return graded.select("doc_id", "lang", "perplexity", "low", "high", "keep")
