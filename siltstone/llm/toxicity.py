@@ -42,6 +42,8 @@ class Settings:
     sampled_toxic: int = 1500
     sampled_ordinary: int = 4000
     calibrating: int = 1000
+    #: longer texts (in characters) aren't taken into the sample, which is so bounded in rows and in characters
+    sampled_chars: int = 20_000
     fragment: int = 6
     #: a fragment needs so large a share of its class's documents, and as many contexts; fit() takes the best share on
     #: the calibrating rows
@@ -220,7 +222,8 @@ def sample(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
         part = known.where(F.col("toxic") == label).orderBy("turn", "doc_id").limit(n + settings.calibrating)
         drawn = part if drawn is None else drawn.unionAll(part)
     # at most sampled_toxic + sampled_ordinary + 2 * calibrating ids: a proven bound for the broadcast
-    found = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("turn", "doc_id", "text", "toxic")
+    found = docs.where(F.length("text") <= settings.sampled_chars).select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    found = found.groupBy("turn", "doc_id", "toxic").agg(F.min("text").alias("text"))  # one row an id
     return [(r.text, r.toxic) for r in sorted(found.collect(), key=lambda r: (r.turn, r.doc_id, r.text or ""))]
 
 
@@ -245,7 +248,7 @@ def toxicity_score(text: Column, model: Model | None) -> Column:
 def classify(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with held_out, score and predicted (1 if score >= 0.3).
 
-    The score reads the text alone. Null doc_id: not held out. Repeated rows are scored each; an empty table gives an
+    The score reads the whole text, however long, and nothing else; equal texts get equal scores. Null doc_id: not held out. Repeated rows are scored each; an empty table gives an
     empty result; clashing columns named held_out, score or predicted are replaced.
     """
     return docs.withColumns({"held_out": held_out(F.col("doc_id")), "score": toxicity_score(F.col("text"), model)}).withColumn(
@@ -254,6 +257,7 @@ def classify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of all documents, by their texts; nulls, empty texts and so on: see classify."""
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(sample(docs, table(spark, sf_dir, "labels")))
