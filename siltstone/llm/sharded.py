@@ -17,6 +17,7 @@ from siltstone.llm.common import frees
 
 #: characters and documents in a batch (a longer document is a batch of its own); rows of numbers in a shard, about
 CHARS, DOCS, SHARD = 4_000_000, 8192, 1_000_000
+_ZSTD = pa.Codec("zstd", compression_level=7)
 
 
 def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
@@ -57,9 +58,9 @@ def counted(item: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, n
 
 
 def packets(h: np.ndarray, per: np.ndarray, steps: np.ndarray, counts: np.ndarray, docs: int, shards: int) -> Iterator[tuple[int, bytes]]:
-    """(shard, packed items) of a batch: its items' hashes, and counted()'s numbers of each."""
+    """(shard, packed items) of a batch: its items' hashes in order, as gaps, and counted()'s numbers of each."""
     shard = h % shards
-    order = np.argsort(shard, kind="stable")
+    order = np.lexsort((h, shard))
     h, begin, per, shard = h[order], (np.cumsum(per) - per)[order], per[order], shard[order]
     ends = np.cumsum(per)
     moved = np.repeat(begin - (ends - per), per) + np.arange(len(steps))
@@ -70,8 +71,9 @@ def packets(h: np.ndarray, per: np.ndarray, steps: np.ndarray, counts: np.ndarra
         if a == b:
             continue
         x, y = ends[a] - per[a], ends[b - 1]
-        raw = h[a:b].tobytes() + _planes(per[a:b].astype("<u2")) + _planes(steps[x:y]) + _planes(counts[x:y])
-        yield i, np.array([b - a, y - x, docs], "<i8").tobytes() + pa.compress(raw, "zstd", asbytes=True)
+        gaps = np.diff(h[a:b].view(np.uint64), prepend=np.uint64(0))
+        raw = _planes(gaps) + _planes(per[a:b].astype("<u2")) + _planes(steps[x:y]) + _planes(counts[x:y])
+        yield i, np.array([b - a, y - x, docs], "<i8").tobytes() + _ZSTD.compress(raw, asbytes=True)
 
 
 def numbers(table: DataFrame, shards: int) -> DataFrame:
@@ -94,7 +96,7 @@ def sums(data: bytes, known: np.ndarray, values: np.ndarray) -> np.ndarray:
     """A packet's sum for each document of its batch."""
     n, m, docs = (int(x) for x in np.frombuffer(data, "<i8", 3))
     raw = pa.decompress(data[24:], n * 10 + m * 6, "zstd", asbytes=True)
-    h = np.frombuffer(raw, "<i8", n)
+    h = np.cumsum(_from_planes(raw, 0, n, "<u8")).view(np.int64)
     per = _from_planes(raw, 8 * n, n, "<u2").astype(np.int64)
     steps = _from_planes(raw, 10 * n, m, "<u2").astype(np.int64)
     counts = _from_planes(raw, 10 * n + 2 * m, m, "<u4")
