@@ -52,8 +52,8 @@ class Settings:
     least_ratio: float = 6.0
     dictionary_bytes: int = 8192
     longest_run: int = 24
-    window: int = 40
-    overlap: int = 16
+    window: int = 24
+    overlap: int = 12
 
 
 @dataclass(frozen=True)
