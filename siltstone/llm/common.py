@@ -66,11 +66,11 @@ def forget(*kept: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the memory of a Python worker: an Arrow batch of long texts holds `rows` of them at most."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Bound the memory of a Python worker: an Arrow batch holds `rows` texts and about `size` bytes at most."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        if int(spark.conf.get(key).rstrip("b")) > most:
+            spark.conf.set(key, str(most))
 
 
 def frees(f):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import frees, keep
-from siltstone.llm.sharded import SENT, batched, counted, met, packets, sent_rows, shards_for
+from siltstone.llm.sharded import CHARS, SENT, batched, counted, met, packets, sent_rows, shards_for
 
 ORDER, BORDER, BITS = 4, 0x110000, 21
 MASK = (1 << BITS) - 1
@@ -31,15 +31,15 @@ MASK = (1 << BITS) - 1
 def _symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Symbols by local numbers, each one's document and place (three borders come first, one last), code points by number."""
     points = [np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
-    lengths = np.array([len(p) for p in points], np.int64)
-    begins = np.cumsum(lengths + ORDER) - (lengths + ORDER)
-    doc = np.repeat(np.arange(len(texts)), lengths + ORDER)
-    place = np.arange(len(doc)) - begins[doc]
-    s = np.full(len(doc), BORDER, np.int64)
+    lengths = np.array([len(p) for p in points], np.int32)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), lengths + ORDER)
+    place = np.arange(len(doc), dtype=np.int32)
+    place -= (np.cumsum(lengths + ORDER, dtype=np.int32) - (lengths + ORDER))[doc]
+    s = np.full(len(doc), BORDER, np.int32)
     if len(points):
-        s[(place >= ORDER - 1) & (place < lengths[doc] + ORDER - 1)] = np.concatenate(points)
+        s[(place >= ORDER - 1) & (place < (lengths + ORDER - 1)[doc])] = np.concatenate(points)
     s[(s >= 9) & (s <= 13)] = 32
-    number = np.zeros(BORDER + 1, np.int64)
+    number = np.zeros(BORDER + 1, np.int32)
     number[s] = 1
     used = np.flatnonzero(number)
     number[used] = np.arange(len(used))
@@ -49,12 +49,14 @@ def _symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def _coded(s: np.ndarray, k: int, most: int):
     """A number below `most` for the k symbols ending at each place from k - 1 on, and how to get the symbols back."""
     size, n = int(s.max()) + 1, len(s) - k + 1
-    code, ranks = s[:n], []
+    code, ranks = s[:n].astype(np.int64), []
     direct = size**k <= most
     for j in range(1, k):
-        code = code * size + s[j : n + j]
+        code *= size
+        code += s[j : n + j]
         if not direct:
             values, code = np.unique(code, return_inverse=True)
+            code = code.astype(np.int64, copy=False)
             ranks.append(values)
 
     def symbols(c: np.ndarray) -> list[np.ndarray]:
@@ -84,7 +86,7 @@ def _hashed(symbols: list[np.ndarray]) -> np.ndarray:
 @frees
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(ctx, sym, n): the n-grams of order 4 of each batch of documents."""
-    for texts, _ in batched(batches):
+    for texts, _ in batched(batches, CHARS // 2):
         s, _, place, used = _symbols(texts)
         code, symbols = _coded(s, ORDER, 2**63 - 1)
         code, n = np.unique(code[place[ORDER - 1 :] >= ORDER - 1], return_counts=True)
@@ -151,7 +153,9 @@ def _packets(texts: list, shards: int) -> Iterator[tuple[int, bytes]]:
         d, at = doc[k - 1 :], place[k - 1 :]
         # contexts of the first position are n-grams of borders alone, once a document
         real = at >= ORDER - 1 if k in (1, ORDER) else (at >= ORDER - 1) | (at == ORDER - 2) & ~empty[d]
-        gram, *rest = counted(code[real], d[real], docs)
+        code = code[real]
+        gram, *rest = counted(code, d[real], docs)
+        del code
         hashes.append(_hashed([used[x] for x in symbols(gram)]))
         for column, value in zip((per, steps, counts), rest, strict=True):
             column.append(value)

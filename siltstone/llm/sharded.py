@@ -20,12 +20,12 @@ CHARS, DOCS, SHARD = 4_000_000, 8192, 1_000_000
 _ZSTD = pa.Codec("zstd", compression_level=7)
 
 
-def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+def batched(batches: Iterator[pa.RecordBatch], chars: int = CHARS) -> Iterator[tuple[list, list]]:
     """Texts and keys (the first two columns) of a batch of documents."""
     texts, keys, size = [], [], 0
     for batch in batches:
         for text, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if texts and (size + len(text or "") > CHARS or len(texts) == DOCS):
+            if texts and (size + len(text or "") > chars or len(texts) == DOCS):
                 yield texts, keys
                 texts, keys, size = [], [], 0
             texts.append(text)
@@ -46,8 +46,12 @@ def _from_planes(data: bytes, at: int, n: int, kind: str) -> np.ndarray:
 
 def counted(item: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of items numbered from 0 with their documents: the distinct numbers, how many documents each has, their steps and counts."""
-    both = np.sort(item * docs + doc)
-    first = np.flatnonzero(np.diff(both, prepend=-1))
+    both = item * docs
+    both += doc
+    both.sort()
+    change = np.ones(len(both), bool)
+    np.not_equal(both[1:], both[:-1], out=change[1:])
+    first = np.flatnonzero(change)
     n = np.diff(first, append=len(both))
     both = both[first]
     item, d = both // docs, both % docs
