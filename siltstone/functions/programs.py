@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 FEATURES = "is_valid boolean, ast_depth long, node_count long, branch_count long, func_count long, var_count long, complexity double"
 OPERATORS = ("constant_tweak", "operator_swap", "guard_insertion", "branch_flip")
-_SWAPS = {ast.Add: ast.Sub, ast.Sub: ast.Add, ast.Mult: ast.Div, ast.Div: ast.Mult, ast.Lt: ast.LtE, ast.LtE: ast.Lt, ast.Gt: ast.GtE, ast.GtE: ast.Gt, ast.Eq: ast.NotEq, ast.NotEq: ast.Eq, ast.And: ast.Or, ast.Or: ast.And}
+_SWAPS = {ast.Add: ast.Sub, ast.Sub: ast.Add, ast.Mult: ast.FloorDiv, ast.FloorDiv: ast.Mult, ast.Lt: ast.LtE, ast.LtE: ast.Lt, ast.Gt: ast.GtE, ast.GtE: ast.Gt, ast.Eq: ast.NotEq, ast.NotEq: ast.Eq, ast.And: ast.Or, ast.Or: ast.And}
 
 
 def _tree(text: str | None) -> ast.Module | None:
@@ -31,8 +31,8 @@ def features_of(text: str | None) -> tuple:
         level = [c for n in level for c in ast.iter_child_nodes(n)]
         depth += bool(level)
     of = lambda *kinds: sum(isinstance(n, kinds) for n in nodes)
-    names = {n.id for n in nodes if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)}
-    return True, depth, len(nodes), of(ast.If, ast.For, ast.While, ast.Try), of(ast.FunctionDef, ast.AsyncFunctionDef), len(names), min(len(nodes) / 100, 1.0)
+    names = {n.id for n in nodes if isinstance(n, ast.Name)}
+    return True, depth, len(nodes), of(ast.If, ast.For, ast.While), of(ast.FunctionDef, ast.AsyncFunctionDef), len(names), min(len(nodes) / 100, 1.0)
 
 
 def features(text: Column) -> Column:

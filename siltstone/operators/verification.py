@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CONSTRAINT = r"^\s*(\w+)\s*(==|!=|<=|>=|<|>)\s*(\w+)\s*$"
+# fixed values: a name, a comparison, and a name or a decimal or hexadecimal number
+CONSTRAINT = r"^\s*([A-Za-z_][A-Za-z0-9_]*)\s*(==|!=|<=|>=|<|>)\s*([A-Za-z_][A-Za-z0-9_]*|0x[0-9a-fA-F]+|-?\d+)\s*$"
 _FLIPPED = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "==": "==", "!=": "!="}
 
 
@@ -19,14 +20,13 @@ def parsed(constraint: Column) -> Column:
 
 
 def _number(text: str) -> int | None:
-    try:
-        return int(text, 0)
-    except ValueError:
+    if text[0].isalpha() or text[0] == "_":
         return None
+    return int(text, 16) if text.startswith("0x") else int(text)
 
 
 def decide(constraints: list[str], bits: int = 32) -> tuple[str, str]:
-    """(status, model) of a conjunction over unsigned integers: counterexample with a model, no_ce, or unknown.
+    """(status, model) of a conjunction over unsigned integers of `bits` bits (negative numbers wrap): counterexample with a model, no_ce, or unknown.
 
     Bounds are propagated through comparisons of names and numbers to a fixpoint; a model of least values is then
     checked against every constraint. Texts that are no comparison make the answer unknown rather than being dropped.
@@ -40,7 +40,7 @@ def decide(constraints: list[str], bits: int = 32) -> tuple[str, str]:
         rules += [(a, op, b), (b, _FLIPPED[op], a)]
         for x in (a, b):
             n = _number(x)
-            low[x], high[x] = (n, n) if n is not None else (0, 2**bits - 1)
+            low[x], high[x] = (n % 2**bits, n % 2**bits) if n is not None else (0, 2**bits - 1)
     for _ in range(4 * len(rules) + 4):
         before = dict(low), dict(high)
         for a, op, b in rules:

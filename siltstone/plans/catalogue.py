@@ -27,7 +27,7 @@ _CTE = {
     "runs": "select event_type as project, user_id as region, event_id as id, ts, value - floor(value) as score from events",
     "belief": "select event_id as seq, ts, case event_type when 'purchase' then 'expand' when 'view' then 'contract' when 'error' then 'revise' when 'click' then 'evidence' else 'rollback' end as event_type, user_id as assertion_id, event_id as evidence_id from events",
     "pairs": "select user_id as src, lead(user_id) over (partition by event_id // 50 order by event_id) as dst from events",
-    "g": "select distinct src, dst from pairs where src % 7 = dst % 7",
+    "g": "select distinct src, dst from pairs where src is not null and dst is not null",
     "nodes": "select src as id from g union select dst from g",
     "tree": "select 'r' || r_regionkey as src, 'n' || n_nationkey as dst from region join nation on n_regionkey = r_regionkey union all select 'n' || n_nationkey, 'c' || c_custkey from nation join customer on c_nationkey = n_nationkey",
     "bed": "select l_suppkey as src, l_partkey as dst, 1 - l_discount as confidence, l_linenumber % 6 as tier from lineitem",
@@ -68,7 +68,7 @@ class _Base:
     @property
     def g(self) -> DataFrame:
         after = F.lead("user_id").over(Window.partitionBy(F.expr("event_id div 50")).orderBy("event_id"))
-        return self.events.select(F.col("user_id").alias("src"), after.alias("dst")).where("src % 7 = dst % 7").distinct()
+        return self.events.select(F.col("user_id").alias("src"), after.alias("dst")).where("src is not null and dst is not null").distinct()
 
     @property
     def g_nodes(self) -> DataFrame:
@@ -260,23 +260,19 @@ def incremental_apply(b):
     return tables.incremental_apply(old, new, named(old, ".n"), named(new, ".m"))
 
 
-def _ids(b):
-    return b.g_nodes.where("id % 10 = 0")
-
-
-@query(f"{_with('pairs', 'g')} select src as id, dst as neighbour from g where src % 10 = 0")
+@query(f"{_with('pairs', 'g')} select src as id, dst as neighbour from g")
 def neighbors_out(b):
-    return graph.neighbours(b.g, _ids(b), "out")
+    return graph.neighbours(b.g, b.g_nodes, "out")
 
 
-@query(f"{_with('pairs', 'g')} select dst as id, src as neighbour from g where dst % 10 = 0")
+@query(f"{_with('pairs', 'g')} select dst as id, src as neighbour from g")
 def neighbors_in(b):
-    return graph.neighbours(b.g, _ids(b), "in")
+    return graph.neighbours(b.g, b.g_nodes, "in")
 
 
-@query(f"{_with('pairs', 'g')} select src as id, dst as neighbour from g where src % 10 = 0 union all select dst, src from g where dst % 10 = 0")
+@query(f"{_with('pairs', 'g')} select src as id, dst as neighbour from g union all select dst, src from g")
 def neighbors_both(b):
-    return graph.neighbours(b.g, _ids(b), "both")
+    return graph.neighbours(b.g, b.g_nodes, "both")
 
 
 @query(f"{_with('bed')} select src, dst, count(*) as call_count, round(sum(confidence), 6) as weight from bed group by src, dst")
@@ -309,9 +305,9 @@ def reachability_closure(b):
     return graph.closure(b.g).select("src", "dst")
 
 
-@query(f"{_CLOSE} select dst as src, src as dst from c where src <> dst and dst % 10 = 0")
+@query(f"{_CLOSE} select dst as src, src as dst from c where src <> dst")
 def reverse_reachability(b):
-    return graph.closure(b.g, _ids(b), reverse=True).select("src", "dst")
+    return graph.closure(b.g, reverse=True).select("src", "dst")
 
 
 @query(f"{_with('tree')} select src, dst from tree where src like 'r%' union all select a.src, c.dst from tree a join tree c on a.dst = c.src where a.src like 'r%'")
@@ -319,9 +315,10 @@ def bounded_reachability(b):
     return graph.closure(b.tree, b.tree.where("src like 'r%'").select(F.col("src").alias("id")), max_depth=2).select("src", "dst")
 
 
-@query(f"{_with('pairs', 'g', recursive=True)}, n as (select count(*) as n from (select src from g union select dst from g)), c(src, dst, depth) as (select src, dst, 1 from g where src % 20 = 0 and src <> dst union select c.src, g.dst, depth + 1 from c join g on c.dst = g.src where depth < 12 and c.src <> g.dst) select src, dst, min(depth) as depth from c group by src, dst")
+# without a depth cap SQL's recursion over depths doesn't end; tested against brute force
+@query()
 def shortest_path_length(b):
-    return graph.closure(b.g, b.g_nodes.where("id % 20 = 0"), max_depth=12)
+    return graph.closure(b.g)
 
 
 _COMP = f"{_with('pairs', 'g', 'nodes', recursive=True)}, u as (select src, dst from g union select dst, src from g), c(id, other) as (select id, id from nodes union select c.id, u.dst from c join u on c.other = u.src), k as (select id, min(other) as component from c group by id)"
@@ -671,11 +668,21 @@ def bounded_verification(b):
     return verification.solve(b.customer.select(k.alias("request"), limits.alias("constraints"))).select("request", "status", "model")
 
 
-@query("select p_partkey, p_size % 2 = 0 as is_valid, case when p_size % 2 = 0 then '1-0-0-0' else '0-0-0-0' end as bin from part")
+# a text of as many nested ifs as p_size % 5, with p_size % 4 sums of a name of its own; otherwise no program
+_NESTED, _SUMS = "p_size % 5", "p_size % 4"
+
+
+@query(f"""with p as (select p_partkey, p_size % 7 <> 0 as is_valid, {_NESTED} as k, {_SUMS} as m from part),
+f as (select *, case when is_valid then k else 0 end as branch_count,
+case when is_valid then 1 + m + (k > 0)::int else 0 end as var_count from p) select p_partkey, is_valid, branch_count::bigint as branch_count, var_count::bigint as var_count from f""")
 def program_features(b):
-    text = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("x = "), "p_size")).otherwise("def f(:")
-    rows = b.part.select("p_partkey", programs.features(text).alias("f"))
-    return rows.select("p_partkey", "f.is_valid", o.structural_bin(F.col("f.ast_depth") + F.when(F.col("f.is_valid"), 1).otherwise(0), F.col("f.node_count"), F.col("f.branch_count"), F.col("f.var_count")).alias("bin"))
+    k, m = F.expr(_NESTED), F.expr(_SUMS)
+    ifs = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.concat(F.repeat(F.lit(" "), i), F.lit("if a:\n"))), ""))
+    sums = F.array_join(F.transform(F.sequence(F.lit(1), m), lambda i: F.concat(F.lit(" + v"), i.cast("string"))), "")
+    head = F.when(k > 0, ifs).otherwise("")
+    text = F.concat(head, F.expr(f"repeat(' ', {_NESTED})"), F.lit("z = 1"), F.when(m > 0, sums).otherwise(""), F.lit("\n"))
+    rows = b.part.select("p_partkey", programs.features(F.when(F.expr("p_size % 7 <> 0"), text).otherwise("def f(:")).alias("f"))
+    return rows.select("p_partkey", "f.is_valid", "f.branch_count", "f.var_count")
 
 
 @query(f"{_with('pairs', 'g', 'nodes')}, i as (select * from g where src % 14 = dst % 14), e as (select * from i where src <> dst), f as (select id % 14 as part, id, id not in (select dst from e) as enters, id not in (select src from e) as leaves from nodes), s as (select part, bool_or(enters) as some_entry, bool_or(leaves) as some_exit from f group by part) select src % 14 as part, src::varchar as src, dst::varchar as dst from i union all select part, '__source_' || part, id::varchar from f join s using (part) where enters or not some_entry union all select part, id::varchar, '__sink_' || part from f join s using (part) where leaves or not some_exit")
@@ -699,37 +706,6 @@ def fiedler_partition(b):
     return graph.fiedler_partition(b.g_nodes, edges)
 
 
-class _Whole(_Base):
-    """The graph of all event pairs; `g` keeps a part of its edges."""
-
-    @property
-    def g(self) -> DataFrame:
-        after = F.lead("user_id").over(Window.partitionBy(F.expr("event_id div 50")).orderBy("event_id"))
-        return self.events.select(F.col("user_id").alias("src"), after.alias("dst")).where("src is not null and dst is not null").distinct()
-
-
-_PART, _ALL = _CTE["g"], "select distinct src, dst from pairs where src is not null and dst is not null"
-
-
-def _whole(name: str, f: Callable[[_Base], DataFrame], sql: str | None) -> None:
-    """name_whole: f over all nodes and edges; sql as over `g`."""
-    _queries[f"{name}_whole"] = lambda spark, sf_dir: f(_Whole(spark, sf_dir))
-    if sql is not None:
-        assert _PART in sql
-        _sql[f"{name}_whole"] = sql.replace(_PART, _ALL)
-
-
-_EDGES = _with("pairs", "g")
-_whole("neighbors_out", lambda b: graph.neighbours(b.g, b.g_nodes, "out"), f"{_EDGES} select src as id, dst as neighbour from g")
-_whole("neighbors_in", lambda b: graph.neighbours(b.g, b.g_nodes, "in"), f"{_EDGES} select dst as id, src as neighbour from g")
-_whole("neighbors_both", lambda b: graph.neighbours(b.g, b.g_nodes, "both"), f"{_EDGES} select src as id, dst as neighbour from g union all select dst, src from g")
-_whole("reverse_reachability", lambda b: graph.closure(b.g, reverse=True).select("src", "dst"), f"{_CLOSE} select dst as src, src as dst from c where src <> dst")
-# without a depth cap SQL's recursion over depths doesn't end; tested against brute force
-_whole("shortest_path_length", lambda b: graph.closure(b.g), None)
-for _f in (reachability_closure, connected_components, component_sizes, scc_members, condensation_edges, entry_exit_points, augmented_graph, planarity_bound, graph_stats):
-    _whole(_f.__name__, _f, _sql[_f.__name__])
-
-
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

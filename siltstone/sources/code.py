@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import builtins
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +14,9 @@ EDGES = "path string, source_id string, target_id string, kind string, confidenc
 IMPORTS = "path string, importer string, module string, name string, level int, line long"
 
 
+_BUILTINS = frozenset(dir(builtins))
+
+
 class _Calls(ast.NodeVisitor):
     """DEFINES, INHERITS and CALLS edges of one module; calls resolve in the order local, built-in, unknown."""
 
@@ -58,7 +62,7 @@ class _Calls(ast.NodeVisitor):
         f = node.func
         if isinstance(f, ast.Name):
             full = self.resolve(f.id)
-            builtin = f.id in dir(__builtins__) or f.id in (__builtins__ if isinstance(__builtins__, dict) else ())
+            builtin = f.id in _BUILTINS
             self.add(full or (f"builtins.{f.id}" if builtin else f.id), "calls", 1.0 if full or builtin else 0.5, node.lineno)
         elif isinstance(f, ast.Attribute) and isinstance(f.value, ast.Name):
             owner = f.value.id

@@ -30,9 +30,12 @@ def append_runs(df: DataFrame, path: str) -> None:
 
 
 def report_json(spark: SparkSession, path: str, tool: str = "stryker") -> DataFrame:
-    """Mutants of Stryker or Poodle JSON reports; the flat form's mutants belong to the file <all>."""
+    """Mutants of Stryker or Poodle JSON reports; the flat form's mutants belong to the file <all>.
+
+    A file without mutants gives one row without a status, whose outcome is null: it counts as a file and as no mutant.
+    """
     whole = spark.read.text(path, wholetext=True).select(F.from_json("value", REPORT).alias("r"))
-    files = whole.select(F.explode("r.files").alias("file_path", "f")).select("file_path", F.explode("f.mutants").alias("m"))
+    files = whole.select(F.explode("r.files").alias("file_path", "f")).select("file_path", F.explode_outer("f.mutants").alias("m"))
     nested = files.select("file_path", F.col("m.location.start.line").alias("line"), F.col("m.status").alias("status_raw"))
     flat = whole.where("r.files is null").select(F.explode("r.mutantResults").alias("m")).select(F.lit("<all>").alias("file_path"), F.lit(None).cast("bigint").alias("line"), F.col("m.status").alias("status_raw"))
     return nested.unionByName(flat).select(F.lit(tool).alias("tool"), "file_path", "line", "status_raw", OUTCOME[tool](F.col("status_raw")).alias("outcome"))

@@ -5,7 +5,7 @@ Tools that would run commands, containers or models read their recorded results
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import outcomes, regions
@@ -62,7 +62,10 @@ def add_assertion(assertions: DataFrame, new: DataFrame) -> DataFrame:
     valid = F.assert_true(F.col("confidence").between(0, 1), F.lit("confidence must lie in [0, 1]"))
     key = F.concat_ws("_", "kind", F.substring(F.sha2(F.concat_ws(":", "kind", "content"), 256), 1, 12))
     rows = new.where(valid.isNull()).withColumn("id", key)
-    return assertions.unionByName(rows.select(*assertions.columns)).dropDuplicates(["id"])
+    # one row an id: what was there stays, and of equal new ones the most confident
+    both = assertions.withColumn("_new", F.lit(0)).unionByName(rows.select(*assertions.columns).withColumn("_new", F.lit(1)))
+    order = Window.partitionBy("id").orderBy("_new", F.desc("confidence"), *[F.col(c) for c in sorted(assertions.columns) if dict(assertions.dtypes)[c].split("<")[0] != "map"])
+    return both.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_new", "_nth")
 
 
 def contract_assertion(support: DataFrame, assertion_id: str, strategy: str = "entrenchment") -> DataFrame:

@@ -152,8 +152,24 @@ def test_whole_graph_queries_leave_nothing_out(spark, tmp_path):
             seen |= frontier
             depth |= {(start, x): d for x in frontier}
     rows = lambda name: sorted(map(tuple, catalogue.queries()[name](spark, str(tmp_path)).collect()))
-    assert rows("shortest_path_length_whole") == sorted((*pair, d) for pair, d in depth.items()) and max(depth.values()) == 29
-    assert rows("reachability_closure_whole") == sorted(depth) and rows("reverse_reachability_whole") == sorted((b, a) for a, b in depth)
-    assert rows("neighbors_out_whole") == sorted(edges) and rows("neighbors_in_whole") == sorted((b, a) for a, b in edges)
-    assert rows("neighbors_both_whole") == sorted([*edges, *((b, a) for a, b in edges)])
-    assert {c for _, c in rows("connected_components_whole")} == {1, 40, 51}
+    assert rows("shortest_path_length") == sorted((*pair, d) for pair, d in depth.items()) and max(depth.values()) == 29
+    assert rows("reachability_closure") == sorted(depth) and rows("reverse_reachability") == sorted((b, a) for a, b in depth)
+    assert rows("neighbors_out") == sorted(edges) and rows("neighbors_in") == sorted((b, a) for a, b in edges)
+    assert rows("neighbors_both") == sorted([*edges, *((b, a) for a, b in edges)])
+    assert {c for _, c in rows("connected_components")} == {1, 40, 51}
+
+
+def test_large_components_are_cut_at_the_bridge(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(graph, "DENSE", 20)
+    rng = np.random.default_rng(1)
+    i, j = rng.integers(0, 60, 500), rng.integers(0, 60, 500)
+    i, j = np.concatenate([i, i + 60, [3]]), np.concatenate([j, j + 60, [77]])
+    keep = i != j
+    i, j, w = np.concatenate([i[keep], j[keep]]), np.concatenate([j[keep], i[keep]]), np.ones(2 * keep.sum())
+    value, v = graph._fiedler(120, i, j, w)
+    monkeypatch.setattr(graph, "DENSE", 1500)
+    dense, u = graph._fiedler(120, i, j, w)
+    assert abs(value - dense) < 1e-6 and abs(abs(u @ v) - 1) < 1e-4
+    assert {frozenset(np.flatnonzero(v > 0)), frozenset(np.flatnonzero(v <= 0))} == {frozenset(range(60)), frozenset(range(60, 120))}

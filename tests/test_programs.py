@@ -37,3 +37,19 @@ def test_hierarchy_condenses_cycles(spark):
     nodes = spark.createDataFrame([(i,) for i in "abcd"], "id string")
     got = graph.hierarchy(nodes, e).where("level = 0").toPandas()
     assert {"".join(sorted(x.id)) for _, x in got.groupby("grp")} == {"ab", "cd"}
+
+
+def test_features_follow_their_definitions():
+    text = "try:\n    for x in y:\n        if x:\n            z = x * w\nexcept ValueError:\n    pass\n"
+    valid, depth, nodes, branches, functions, names, _ = programs.features_of(text)
+    assert (valid, branches, functions, names) == (True, 2, 0, 5)
+    assert programs.features_of("def f(:")[:3] == (False, 0, 0)
+    assert programs.mutate("a * b", "operator_swap", 1) == "a // b" and programs.mutate("a // b", "operator_swap", 1) == "a * b"
+
+
+def test_constraint_grammar():
+    from siltstone.operators import verification
+
+    assert verification.decide(["x == 0x10"]) == ("counterexample", "x=16")
+    assert verification.decide(["x > -5"], 8) == ("counterexample", "x=252")
+    assert verification.decide(["3abc > 1"])[0] == "unknown" and verification.decide(["x < 0"])[0] == "no_ce"
