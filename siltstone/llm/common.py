@@ -52,6 +52,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     global _collected
     if time.monotonic() - _collected > 3:
         spark.sparkContext._jvm.System.gc()
+        trim()
         _collected = time.monotonic()
     kept = spark.read.schema(df.schema).parquet(path)
     kept._kept_at = path
@@ -73,6 +74,15 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -
             spark.conf.set(key, str(most))
 
 
+def trim() -> None:
+    """Give memory that Python objects and arrays no longer use back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def frees(f):
     """For generators that a Python worker runs over batches: the worker outlives the task, so what the task's arrays
     took goes back to the system when it ends."""
@@ -82,11 +92,7 @@ def frees(f):
         try:
             yield from f(batches, *args, **kwargs)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if sys.platform == "linux":
-                with contextlib.suppress(OSError, AttributeError):
-                    ctypes.CDLL(None).malloc_trim(0)
+            trim()
 
     return run
 

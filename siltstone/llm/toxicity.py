@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import small_batches, table
+from siltstone.llm.common import small_batches, table, trim
 
 FILLER = bytes(range(200, 248))
 CUT = 0.3
@@ -203,6 +203,8 @@ def fit(rows: list[tuple[str | None, int]], settings: Settings = Settings()) ->
         wrong = float((((a * x[:, 0] + b * x[:, 1] + c) >= math.log(CUT / (1 - CUT))) != (y == 1)).sum())
         if wrong < least_loss:
             best, least_loss = Model(model.toxic, model.ordinary, weights, settings), wrong
+    del t_count, o_count
+    trim()
     return best
 
 
