@@ -160,6 +160,20 @@ def neighbours(edges: DataFrame, ids: DataFrame, direction: str = "both") -> Dat
     return {"out": out, "in": into, "both": out.unionAll(into)}[direction]
 
 
+def of_kind(rows: DataFrame, kinds: tuple[str, ...] = ("calls",)) -> DataFrame:
+    """Edges or nodes of the kinds; FUNCTIONS names the kinds of nodes that can be called."""
+    return rows.where(F.col("kind").isin(*kinds))
+
+
+def subgraph(edges: DataFrame, ids: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """The edges between ids(id), of the kinds if any are given; repeated edges stay, repeated ids add none."""
+    own = ids.select(F.col("id").alias("own"))
+    inside = edges if kinds is None else of_kind(edges, kinds)
+    return inside.join(own, F.col("src") == F.col("own"), "left_semi").join(own, F.col("dst") == F.col("own"), "left_semi")
+
+
+#: kinds of nodes that can be called
+FUNCTIONS = ("function", "method", "lambda")
 #: parts of up to so many nodes are bisected by a dense eigendecomposition
 DENSE = 1500
 

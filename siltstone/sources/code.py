@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import ast
 import builtins
+import re
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EDGES = "path string, source_id string, target_id string, kind string, confidence double, line long"
 IMPORTS = "path string, importer string, module string, name string, level int, line long"
+NODES = (
+    "path string, id string, name string, kind string, line long, end_line long, params array<string>, returns string, decorators array<string>, is_async boolean, is_generator boolean, docstring string"
+)
 
 
 _BUILTINS = frozenset(dir(builtins))
@@ -131,3 +136,64 @@ def call_edges(files: DataFrame) -> DataFrame:
 
 def imports(files: DataFrame) -> DataFrame:
     return _extracted(files, IMPORTS, imports_of)
+
+
+def _parameters(a: ast.arguments) -> list[str]:
+    star = [f"*{a.vararg.arg}"] if a.vararg else []
+    return [x.arg for x in a.posonlyargs + a.args] + star + [x.arg for x in a.kwonlyargs] + ([f"**{a.kwarg.arg}"] if a.kwarg else [])
+
+
+def _named(node: ast.AST, prefix: str, in_class: bool) -> Iterator[tuple]:
+    """Node rows below a node, each scope before what it holds; lambdas are named by their line."""
+    for child in ast.iter_child_nodes(node):
+        if isinstance(child, ast.ClassDef):
+            marks = [ast.unparse(d) for d in child.decorator_list]
+            yield (full := f"{prefix}.{child.name}"), child.name, "class", child.lineno, child.end_lineno, [], None, marks, False, False, ast.get_docstring(child)
+            yield from _named(child, full, True)
+        elif isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef):
+            marks = [ast.unparse(d) for d in child.decorator_list]
+            gives = any(isinstance(x, ast.Yield | ast.YieldFrom) for x in ast.walk(child))
+            returned = ast.unparse(child.returns) if child.returns else None
+            kind = "method" if in_class else "function"
+            yield (full := f"{prefix}.{child.name}"), child.name, kind, child.lineno, child.end_lineno, _parameters(child.args), returned, marks, isinstance(child, ast.AsyncFunctionDef), gives, ast.get_docstring(child)
+            yield from _named(child, full, False)
+        elif isinstance(child, ast.Lambda):
+            name = f"<lambda:{child.lineno}:{child.col_offset}>"
+            yield (full := f"{prefix}.{name}"), name, "lambda", child.lineno, child.end_lineno, _parameters(child.args), None, [], False, False, None
+            yield from _named(child, full, False)
+        else:
+            yield from _named(child, prefix, in_class)
+
+
+def nodes_of(path: str, module: str, source: str) -> list[tuple]:
+    try:
+        tree = ast.parse(source or "")
+    except (SyntaxError, ValueError):
+        return []
+    top = (module, module.rsplit(".", 1)[-1], "module", 1, len((source or "").splitlines()), [], None, [], False, False, ast.get_docstring(tree))
+    return [(path, *row) for row in (top, *_named(tree, module, False))]
+
+
+def definitions(files: DataFrame) -> DataFrame:
+    """The node table: modules, classes, functions, methods and lambdas with their signatures.
+
+    A generator is a function with a yield anywhere below it, inner functions included. Of names defined twice in a file
+    each definition is a row; files that don't parse give none.
+    """
+    return _extracted(files, NODES, nodes_of)
+
+
+def is_external(module: Column, local: list[str]) -> Column:
+    """Whether a module is the standard library's or not below one of the local top-level packages."""
+    top = F.substring_index(module, ".", 1)
+    return top.isin(*sorted(sys.stdlib_module_names)) | ~top.isin(*local)
+
+
+def source_files(spark: SparkSession, folder: str, pattern: str = "*.py", exclude: tuple[str, ...] = ()) -> DataFrame:
+    """path (relative to the folder), source of the files below it; paths that contain an excluded part are left out."""
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    inside = F.element_at(F.split("path", re.escape(folder.rstrip("/").removeprefix("file:")) + "/", 2), -1)
+    found = read.select(inside.alias("path"), F.col("content").cast("string").alias("source"))
+    for part in exclude:
+        found = found.where(~F.contains("path", F.lit(part)))
+    return found

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,12 +31,21 @@ def append_runs(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def hidden(path: str) -> bool:
+    """Whether Spark's readers would leave a local file out for its name."""
+    return Path(path).name.startswith((".", "_")) and Path(path).exists()
+
+
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    return spark.createDataFrame([(Path(path).read_text(encoding="utf-8"),)], "value string") if hidden(path) else spark.read.text(path, wholetext=True)
+
+
 def report_json(spark: SparkSession, path: str, tool: str = "stryker") -> DataFrame:
     """Mutants of Stryker or Poodle JSON reports; the flat form's mutants belong to the file <all>.
 
     A file without mutants gives one row without a status, whose outcome is null: it counts as a file and as no mutant.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", REPORT).alias("r"))
+    whole = _whole(spark, path).select(F.from_json("value", REPORT).alias("r"))
     files = whole.select(F.explode("r.files").alias("file_path", "f")).select("file_path", F.explode_outer("f.mutants").alias("m"))
     nested = files.select("file_path", F.col("m.location.start.line").alias("line"), F.col("m.status").alias("status_raw"))
     flat = whole.where("r.files is null").select(F.explode("r.mutantResults").alias("m")).select(F.lit("<all>").alias("file_path"), F.lit(None).cast("bigint").alias("line"), F.col("m.status").alias("status_raw"))
@@ -43,7 +54,7 @@ def report_json(spark: SparkSession, path: str, tool: str = "stryker") -> DataFr
 
 def report_score(spark: SparkSession, path: str) -> DataFrame:
     """The report's own score, as a fraction."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", REPORT).alias("r"))
+    whole = _whole(spark, path).select(F.from_json("value", REPORT).alias("r"))
     return whole.select(o.reported_score(F.col("r.mutationScore"), F.lit(None).cast("double")).alias("mutation_score"))
 
 
