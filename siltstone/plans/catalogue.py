@@ -265,6 +265,17 @@ def neighbors_out(b):
     return graph.neighbours(b.g, b.g_nodes, "out")
 
 
+@query(f"{_with('pairs', 'g')}, inner_nodes as (select src as id from g intersect select dst from g) select src, dst from g where src in (select id from inner_nodes) and dst in (select id from inner_nodes)")
+def induced_subgraph(b):
+    """The edges between nodes that have both callers and callees."""
+    return graph.subgraph(b.g, b.g.select(F.col("src").alias("id")).intersect(b.g.select("dst")))
+
+
+@query("select l_suppkey as src, l_partkey as dst, l_returnflag as kind from lineitem where l_returnflag in ('A', 'R')")
+def edges_of_kind(b):
+    return graph.of_kind(b.lineitem.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_returnflag").alias("kind")), ("A", "R"))
+
+
 @query(f"{_with('pairs', 'g')} select dst as id, src as neighbour from g")
 def neighbors_in(b):
     return graph.neighbours(b.g, b.g_nodes, "in")
