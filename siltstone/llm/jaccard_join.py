@@ -18,7 +18,8 @@ Steps, each written to the shared folder:
 4. In a bucket, parity bitmaps bound the symmetric difference from below, which discards almost all pairs that aren't
    links without their texts: a folded bitmap in the bucket, the whole one for the pairs left. A first round takes one
    partner a set and bucket, verifies and merges components; the second round takes all pairs of sets that are still in
-   different components. Large buckets are dealt to block pairs.
+   different components. Near copies share most of their keys, so there a row names its set's least keys, and a pair
+   that shares one of them is left to that bucket. Large buckets are dealt to block pairs.
 5. Surviving pairs are verified on the shingle sets of the two texts, under two independent families of hashes;
    components follow. (Equality of whole sets, step 1, goes by the signature.)
 
@@ -46,8 +47,11 @@ FREQUENT, VERY, LARGE = 32, 1024, 2048
 #: a bucket that is too large is cut into so many blocks, or that squared and so on
 SPLIT = 4
 #: bits of a parity bitmap for each token that may differ; bits of its folded form that index rows carry: at least, and
-#: for each token that may differ (unrelated sets differ in half of the bits, so two such bits a token tell them apart)
-PARITY, SMALL, FOLDED = 16, 512, 2
+#: for each token that may differ (unrelated sets differ in half of the bits, so it takes more than two bits a token to
+#: tell them apart)
+PARITY, SMALL, FOLDED = 16, 512, 3
+#: so many of a set's least keys go with its index rows
+FIRST = 8
 #: the first pass keeps so many times the plain prefix, so that few sets need their texts again
 EXTENDED = 2
 #: bits of a map of frequent tokens: 2 MB, whatever the input (shared places only change the order)
@@ -159,7 +163,7 @@ def _changed(batches: Iterator[pa.RecordBatch], num: int, den: int, maps: tuple[
 
 @frees
 def _index_rows(batches: Iterator[pa.RecordBatch], num: int, den: int, maps: tuple[bytes, ...], wanted: bytes, whole: bool) -> Iterator[pa.RecordBatch]:
-    """Index rows with a wanted key: key, gid, comp, and for whole rows n, small. Sets whose kept tokens are too few are left out."""
+    """Index rows with a wanted key: key, gid, comp, and for whole rows n, small, first. Sets whose kept tokens are too few are left out."""
     kinds = _kinds(maps)
     for batch in batches:
         keys, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -171,9 +175,36 @@ def _index_rows(batches: Iterator[pa.RecordBatch], num: int, den: int, maps: tup
                     at.append(np.full(len(k), i, np.int64))
         key, row = np.concatenate(keys), np.concatenate(at)
         met = hits(key, wanted)
-        key, row = key[met], pa.array(row[met])
+        key, at = key[met], row[met]
+        row = pa.array(at)
         names = ["gid", "comp", "n", "small"] if whole else ["gid", "comp"]
-        yield pa.record_batch([pa.array(key), *(batch.column(c).take(row) for c in names)], names=["key", *names])
+        made = [pa.array(key), *(batch.column(c).take(row) for c in names)]
+        yield pa.record_batch([*made, _least_keys(key, at)] if whole else made, names=["key", *names, *["first"] * whole])
+
+
+def _least_keys(key: np.ndarray, at: np.ndarray) -> pa.Array:
+    """For each row the FIRST least keys among the rows of its set, whose number is in `at`; fewer are filled up by the largest number."""
+    order = np.lexsort((key, at))
+    starts = np.flatnonzero(np.diff(at[order], prepend=-1))
+    lengths = np.diff(starts, append=len(key))
+    rank, of = np.arange(len(key)) - np.repeat(starts, lengths), np.repeat(np.arange(len(starts)), lengths)
+    least = np.full((len(starts), FIRST), np.iinfo(np.int64).max)
+    least[of[rank < FIRST], rank[rank < FIRST]] = key[order][rank < FIRST]
+    back = np.empty(len(key), np.int64)
+    back[order] = of
+    ends = np.arange(len(key) + 1, dtype=np.int32) * np.int32(8 * FIRST)
+    return pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(ends), pa.py_buffer(least[back])])
+
+
+@frees
+def _wanted_rows(batches: Iterator[pa.RecordBatch], wanted: bytes) -> Iterator[pa.RecordBatch]:
+    """The index rows that have a wanted key, with `first`. Rows of a set lie together; where a task has only some of them, their keys do."""
+    for rows in _runs(batches, ["gid"]):
+        gid, met = rows.column("gid").to_numpy(), hits(rows.column("key").to_numpy(), wanted)
+        at = np.cumsum(np.diff(gid, prepend=gid[:1]) != 0)
+        rows = rows.filter(pa.array(met))
+        rows = rows.append_column("first", _least_keys(rows.column("key").to_numpy(), at[met]))
+        yield from rows.to_batches(1000)
 
 
 @frees
@@ -261,8 +292,9 @@ def _runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table
 def _candidates(batches: Iterator[pa.RecordBatch], num: int, den: int, forest: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of a bucket that the parity bitmaps can't rule out, between different components.
 
-    forest: for each set its nearest such partner only. Rows come sorted by (key, low, high); low and high are the block
-    pair of a large bucket, block the row's own.
+    forest: for each set its nearest such partner only. Otherwise a pair is left out where its sets' least keys show that
+    a bucket of a lesser key has it too. Rows come sorted by (key, low, high); low and high are the block pair of a large
+    bucket, block the row's own.
     """
     by = ["key", "low", "high"]
     for rows in _runs(batches, by):
@@ -276,16 +308,41 @@ def _candidates(batches: Iterator[pa.RecordBatch], num: int, den: int, forest: b
         several = ends - edges > 1
         n, gid, comp, block = (rows.column(c).to_numpy() for c in ("n", "gid", "comp", "block"))
         parity = rows.column("small").combine_chunks()
+        first = None if forest else _numbers(rows.column("first").combine_chunks())
         out: list[np.ndarray] = []
         for a, b in zip(edges[several].tolist(), ends[several].tolist(), strict=True):
             cross = key[1][a] != key[2][a]
-            out += _pairs(n[a:b], gid[a:b], comp[a:b], block[a:b] if cross else None, parity.slice(a, b - a), num, den, forest)
+            found = _pairs(n[a:b], gid[a:b], comp[a:b], block[a:b] if cross else None, parity.slice(a, b - a), num, den, forest)
+            out += found if forest else [_here(pairs, key[0][a], gid[a:b], first[a:b]) for pairs in found]
         if out:
             pairs = np.concatenate(out)
             pairs = np.unique(np.sort(pairs, axis=1), axis=0)
             yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
+def _numbers(first: pa.Array) -> np.ndarray:
+    """The least keys of each row, FIRST in a line."""
+    start = np.frombuffer(first.buffers()[1], np.int32)[first.offset]
+    return np.frombuffer(first.buffers()[2], np.int64, len(first) * FIRST, int(start)).reshape(-1, FIRST)
+
+
+def _here(pairs: np.ndarray, key: int, gid: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The pairs that share none of their sets' least keys below this bucket's.
+
+    Sets that share a key are both in its bucket, or in one of a lesser key with the same rows, or that bucket held one
+    component only; so the least bucket that two sets share never leaves their pair out.
+    """
+    order = np.argsort(gid)
+    kept = [pairs[:0]]
+    for some in np.split(pairs, range(1 << 16, len(pairs), 1 << 16)):
+        x, y = (first[order[np.searchsorted(gid, some[:, i], sorter=order)]] for i in (0, 1))
+        earlier = np.zeros(len(some), bool)
+        for i in range(FIRST):
+            earlier |= ((x[:, i, None] == y) & (y < key)).any(axis=1)
+        kept.append(some[~earlier])
+    return np.concatenate(kept)
+
+
 def _few(n, gid, comp, parity, num: int, den: int) -> list[np.ndarray]:
     """_pairs for a handful of rows, by Python's own integers."""
     rows = sorted(zip(n.tolist(), gid.tolist(), comp.tolist(), (parity[i].as_py() for i in range(len(parity))), strict=True))
@@ -441,10 +498,10 @@ def link(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Data
     # buckets with the same rows are one bucket
     buckets = light.groupBy("key").agg(F.count("*").alias("rows"), F.min("comp").alias("least"), F.max("comp").alias("most"), F.expr("bit_xor(xxhash64(gid))").alias("x")).where("least < most")
     buckets = keep(buckets.groupBy("rows", "least", "most", "x").agg(F.min("key").alias("key")).select("key", "rows"), "buckets")
-    wanted = bitmap_of(buckets, F.col("key"))
-    index = groups.select("gid", "comp", "n", "small", "prefix").mapInArrow(partial(_index_rows, num=num, den=den, maps=maps, wanted=wanted.bytes(), whole=True), "key long, gid long, comp long, n long, small binary")
+    wanted, whole = bitmap_of(buckets, F.col("key")).bytes(), "key long, gid long, comp long, n long, small binary, first binary"
+    index = groups.select("gid", "comp", "n", "small", "prefix").mapInArrow(partial(_index_rows, num=num, den=den, maps=maps, wanted=wanted, whole=True), whole)
     if combined is not None:
-        index = index.unionAll(sift(combined, F.col("key"), wanted))
+        index = index.unionAll(combined.mapInArrow(partial(_wanted_rows, wanted=wanted), whole))
     index = keep(index, "index")
 
     # 4. a forest over the buckets, then all pairs of what is still apart
@@ -497,7 +554,7 @@ def _map(frequent: DataFrame) -> bytes:
 
 @frees
 def _blocked(batches: Iterator[pa.RecordBatch], hot: list[bytes], forest: bool) -> Iterator[pa.RecordBatch]:
-    """Rows with their block pairs: key, low, high, block, gid, comp, n, small. A forest needs no pairs across blocks."""
+    """Rows with their block pairs: key, low, high, block, gid, comp, n, small, first. A forest needs no pairs across blocks, and no least keys."""
     for batch in batches:
         key = batch.column("key").to_numpy()
         blocks, still = np.ones(len(key), np.int64), np.ones(len(key), bool)
@@ -512,11 +569,12 @@ def _blocked(batches: Iterator[pa.RecordBatch], hot: list[bytes], forest: bool)
         own = block[row]
         columns = [np.minimum(own, other), np.maximum(own, other), own]
         rest = batch.take(pa.array(row))
-        yield pa.record_batch([rest.column("key"), *(pa.array(c) for c in columns), *(rest.column(c) for c in ("gid", "comp", "n", "small"))], names=["key", "low", "high", "block", "gid", "comp", "n", "small"])
+        names = ["gid", "comp", "n", "small", *["first"] * (not forest)]
+        yield pa.record_batch([rest.column("key"), *(pa.array(c) for c in columns), *(rest.column(c) for c in names)], names=["key", "low", "high", "block", *names])
 
 
 def _dealt(rows: DataFrame, sizes: DataFrame, forest: bool) -> DataFrame:
-    """Index rows (key, gid, comp, n, small) dealt to blocks of about LARGE rows or fewer; sizes(key, rows) has the buckets' sizes.
+    """Index rows (key, gid, comp, n, small, and first but for a forest) dealt to blocks of about LARGE rows or fewer; sizes(key, rows) has the buckets' sizes.
 
     Bitmaps name the large buckets, so no join moves all rows of a key to one task. A bit that two keys share cuts a
     small bucket into blocks too, which changes nothing in its pairs.
@@ -525,8 +583,8 @@ def _dealt(rows: DataFrame, sizes: DataFrame, forest: bool) -> DataFrame:
     while most > LARGE * blocks:
         hot.append(bitmap_of(sizes.where(F.col("rows") > LARGE * blocks), F.col("key")).bytes())
         blocks *= SPLIT
-    rows = rows.select("key", "gid", "comp", "n", "small")
-    return rows.mapInArrow(partial(_blocked, hot=hot, forest=forest), "key long, low long, high long, block long, gid long, comp long, n long, small binary")
+    rows = rows.select("key", "gid", "comp", "n", "small", *["first"] * (not forest))
+    return rows.mapInArrow(partial(_blocked, hot=hot, forest=forest), "key long, low long, high long, block long, gid long, comp long, n long, small binary" + ", first binary" * (not forest))
 
 
 def _meet(dealt: DataFrame, sets: DataFrame, num: int, den: int, forest: bool) -> DataFrame:

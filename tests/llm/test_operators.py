@@ -108,6 +108,48 @@ def test_join_of_nothing(spark):
         jaccard_join.link(docs_of(spark, []), 3, 10, 100)
 
 
+def sets_by_hand(texts, width, num, den):
+    texts = pa.record_batch([pa.array(range(len(texts))), pa.array(texts), pa.array(range(len(texts)))], names=["doc_id", "text", "text_id"])
+    made = pa.Table.from_batches(jaccard_join._features(iter([texts]), width, num, den))
+    return made.append_column("gid", made.column("doc_id")).append_column("comp", made.column("doc_id")).combine_chunks()
+
+
+def test_pairs_of_near_copies_come_from_one_bucket():
+    rng = random.Random(6)
+    base = [f"word{rng.randrange(10**6)}" for _ in range(300)]
+    texts = [" ".join(f"new{rng.randrange(10**6)}" if rng.random() < 0.02 else w for w in base) for _ in range(12)]
+    made = sets_by_hand(texts, 3, 80, 100)
+    index = pa.Table.from_batches(jaccard_join._index_rows(iter(made.to_batches()), 80, 100, (), b"\xff" * 4096, True)).sort_by("key")
+    for name in ("block", "high", "low"):
+        index = index.add_column(1, name, pa.array([0] * len(index)))
+    keys = index.column("key").to_numpy()
+    parts = np.split(np.arange(len(keys)), np.flatnonzero(np.diff(keys)) + 1)
+    buckets = [index.take(pa.array(p)).combine_chunks().to_batches()[0] for p in parts]
+    pairs = [(r["a"], r["b"]) for b in jaccard_join._candidates(iter(buckets), 80, 100, False) for r in b.to_pylist()]
+    sets = [s for _, s in sets_of(list(enumerate(texts)), 3)]
+    near = {(i, j) for j in range(12) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert near and near <= set(pairs) and len(pairs) == len(set(pairs))
+
+
+def test_least_keys_are_of_wanted_rows_only():
+    keys = [[5, -3, 9, 7], [7, 9], list(range(20, 0, -1)), [9]]
+    rows = [(k, gid, gid, 1, b"x") for gid, ks in enumerate(keys) for k in ks]
+    batch = pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], names=["key", "gid", "comp", "n", "small"])
+    wanted = np.packbits(np.arange(64) != 9, bitorder="little").tobytes()
+    out = pa.Table.from_batches(jaccard_join._wanted_rows(iter([batch.slice(0, 3), batch.slice(3)]), wanted)).to_pylist()
+    assert [(r["key"], r["gid"]) for r in out] == [(k, g) for k, g, *_ in rows if k != 9]
+    for r in out:
+        least = sorted(k for k in keys[r["gid"]] if k != 9)[: jaccard_join.FIRST]
+        assert [k for k in np.frombuffer(r["first"], np.int64).tolist() if k < 2**63 - 1] == least
+
+
+def test_folded_bitmaps_tell_unrelated_sets_apart():
+    rng = random.Random(7)
+    made = sets_by_hand([" ".join(f"w{rng.randrange(10**9)}" for _ in range(1152)) for _ in range(20)], 3, 80, 100)
+    columns = [made.column(c).to_numpy() for c in ("n", "gid", "comp")]
+    assert not jaccard_join._pairs(*columns, None, made.column("small").combine_chunks(), 80, 100, False)
+
+
 def test_combination_keys_keep_every_link():
     rng = np.random.default_rng(3)
     kinds = rng.choice(3, jaccard_join.MAP_BITS, p=[0.3, 0.4, 0.3]).astype(np.uint8)
