@@ -31,22 +31,24 @@ from siltstone.llm.common import keep, small_batches, table
 
 LENGTH, WINDOW, END = 2048, 64 * 2048, 1
 _BREAKS = re.compile("[ \n\t\r]+")
-_PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]*)")
+_PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?#$%&*]*)")
 _encoders: dict[str, "Encoder"] = {}
 
 
 class Encoder(dict):
     """White-space-separated chunk -> its ids as bytes, by the tokenizer itself; kept while the Python worker lives.
 
+    At most `most` chunks are kept, in two halves: when the newer is full, it becomes the older, whose chunks come back
+    as they are met. So frequent chunks stay, and only those not met for long are forgotten.
     The tokenizer drops white space, so the ids of a text are those of its chunks. A chunk of plain letters is one
     pre-token, and its model can be asked directly; marks after it are pre-tokens of their own.
     """
 
-    def __init__(self, path: str, dtype: str, most: int = 300_000):
+    def __init__(self, path: str, dtype: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenize, self.most = self.tokenizer.model.tokenize, most
+        self.tokenize, self.half, self.older = self.tokenizer.model.tokenize, most // 2, {}
         self.pack = struct.Struct("<" + {"<u2": "H", "<u4": "I"}[dtype]).pack
         # the byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -61,12 +63,15 @@ class Encoder(dict):
         return self.tokenize(word)
 
     def __missing__(self, chunk: str) -> bytes:
-        if self.direct and (m := _PLAIN.fullmatch(chunk)):
+        if (packed := self.older.get(chunk)) is not None:
+            pass
+        elif self.direct and (m := _PLAIN.fullmatch(chunk)):
             packed = self[m[1]] + self[m[2]] if m[2] else b"".join([self.pack(t.id) for t in self._plain(chunk)])
         else:
             packed = b"".join(map(self.pack, self.tokenizer.encode(chunk, add_special_tokens=False).ids))
         if len(chunk) <= 64:
-            if len(self) >= self.most:
+            if len(self) >= self.half:
+                self.older = self.copy()
                 self.clear()
             self[chunk] = packed
         return packed

@@ -261,6 +261,40 @@ def test_packing_covers_every_id(spark):
     assert packing.pack(docs.limit(0), path).count() == 0
 
 
+def test_frequent_chunks_are_tokenized_once():
+    tokens = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"), "<u2", 60)
+    tokenize, asked = tokens.tokenize, collections.Counter()
+
+    def counted(word):
+        asked[word] += 1
+        return tokenize(word)
+
+    tokens.tokenize = counted
+    rng = random.Random(8)
+    for _ in range(100):
+        text = " ".join(["harbour", *("".join(rng.choices("abcdefgh", k=9)) + "." for _ in range(3)), "don't"])
+        ids = tokens.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(tokens.encode(text), "<u2").tolist() == ids
+        assert len(tokens) <= 60
+    assert asked["harbour"] == 1
+
+
+def test_marks_after_a_word_are_not_encoded_with_it():
+    tokens = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"), "<u2")
+    whole, seen = tokens.tokenizer, []
+
+    class Counted:
+        def encode(self, text, **how):
+            seen.append(text)
+            return whole.encode(text, **how)
+
+    tokens.tokenizer = Counted()
+    marks = ["", ".", "###", ",$$$", ".%%%", "&&&", "***", "!?;:", "$%&*#", "&", "#1", "**b", "%'s"]
+    for text in [w + m for w in ("harbour", "übe", "a", "iner") for m in marks]:
+        assert np.frombuffer(tokens.encode(text), "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert "harbour###" not in seen and "übe.%%%" not in seen
+
+
 def test_windows_hold_the_mixture(spark):
     docs = spark.range(900).select(F.col("id").alias("doc_id"), F.expr("repeat('word ', 40)").alias("text"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"))
     path = public_tokenizers.path("word_bpe_49k.json")
