@@ -173,3 +173,25 @@ def test_large_components_are_cut_at_the_bridge(spark, monkeypatch):
     dense, u = graph._fiedler(120, i, j, w)
     assert abs(value - dense) < 1e-6 and abs(abs(u @ v) - 1) < 1e-4
     assert {frozenset(np.flatnonzero(v > 0)), frozenset(np.flatnonzero(v <= 0))} == {frozenset(range(60)), frozenset(range(60, 120))}
+
+
+def test_searches_from_all_nodes_share_their_steps(monkeypatch):
+    """Depths against single searches: more sources than go together, edges cut in steps, a depth limit."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    n, pairs = 150, rng.integers(0, 150, (2, 260)).astype("<i4")
+    monkeypatch.setattr(graph, "WIDTH", 70)
+    monkeypatch.setattr(graph, "STEP", 7)
+    monkeypatch.setattr(graph, "BATCH", 1000)
+    expected, below = set(), {u: set(pairs[1][pairs[0] == u].tolist()) for u in range(n)}
+    for start in range(n):
+        frontier, seen, depth = {start}, {start}, 0
+        while frontier:
+            depth += 1
+            frontier = set().union(*(below[u] for u in frontier)) - seen
+            seen |= frontier
+            expected |= {(depth, start, x) for x in frontier}
+    got = lambda *block, most=None: [(d, *x) for d, i, j in graph._searched(n, pairs, *block, most) for x in zip(i.tolist(), j.tolist())]
+    assert sorted(got(0, 90) + got(90, 150)) == sorted(expected)
+    assert sorted(got(0, 150, most=2)) == sorted(x for x in expected if x[0] <= 2)
