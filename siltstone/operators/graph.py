@@ -18,6 +18,8 @@ WIDTH, DEALT = 512, 64
 SMALL = 1024
 #: edges taken at a time; rows of a result's Arrow batch, about
 STEP, BATCH = 1 << 16, 1 << 20
+#: labels of a column or row of the grid of dominance, about
+GRID = 50_000
 
 
 def closure(edges: DataFrame, seeds: DataFrame | None = None, max_depth: int | None = None, reverse: bool = False) -> DataFrame:
@@ -267,9 +269,77 @@ def entry_exit(edges: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def dominance(labels: DataFrame) -> DataFrame:
-    """src, dst with left_src <= left_dst and right_src <= right_dst, for a group's labels(grp, id, l, r): exact on trees."""
-    a, b = labels.toDF("grp", "src", "sl", "sr"), labels.toDF("og", "dst", "dl", "dr")
-    return a.join(b, (F.col("grp") == F.col("og")) & (F.col("sl") <= F.col("dl")) & (F.col("sr") <= F.col("dr")) & (F.col("src") != F.col("dst"))).select("src", "dst")
+    """src, dst with left_src <= left_dst and right_src <= right_dst, for a group's labels(grp, id, l, r): exact on trees.
+
+    A group is cut into a grid of about equal columns of l and rows of r, of GRID labels or so. A label's pairs lie in its
+    own column, in its own row, or in cells above both, whose pairs all count: no candidate is met that gives no pair.
+    """
+    rows = settle(labels.select("grp", "id", "l", "r").where("grp is not null and id is not null and l is not null and r is not null"))
+    types = dict(rows.dtypes)
+    total, most = rows.groupBy("grp").agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n")).first()
+    cuts, tasks = min(64, (most or 0) // GRID), min(2000, max(8, (total or 0) // GRID))
+    for c in ("l", "r"):
+        if types[c] not in ("tinyint", "smallint", "int", "bigint"):
+            rows = rows.withColumn(c, F.dense_rank().over(Window.partitionBy("grp").orderBy(c)).cast("long"))
+    if cuts:
+        cut = lambda c: F.percentile_approx(c, [k / (cuts + 1) for k in range(1, cuts + 1)], 10_000)
+        bounds = rows.groupBy(F.col("grp").alias("og")).agg(cut("l").alias("ls"), cut("r").alias("rs"))
+        at = lambda bs, c: F.size(F.filter(bs, lambda x: x < F.col(c)))
+        rows = settle(rows.join(bounds, F.col("grp") == F.col("og")).select("grp", "id", "l", "r", at("ls", "l").alias("x"), at("rs", "r").alias("y")))
+    else:
+        rows = rows.withColumns({"x": F.lit(0), "y": F.lit(0)})
+
+    def within(line: str, left: str, strict: bool) -> DataFrame:
+        def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            if parts := [f for f in frames if len(f)]:
+                f = pd.concat(parts, ignore_index=True)
+                ids = f.id.to_numpy()
+                for i, j in _dominated(pd.factorize(f.block)[0], f.l.to_numpy(), f.r.to_numpy(), strict):
+                    apart = ids[i] != ids[j]
+                    yield pd.DataFrame({"src": ids[i][apart], "dst": ids[j][apart]})
+
+        block = F.concat_ws("|", F.col("grp").cast("string"), F.col(line).cast("string"))
+        return rows.select(block.alias("block"), "id", F.col(left).alias("l"), "r").repartition(tasks, "block").mapInPandas(of, f"src {types['id']}, dst {types['id']}")
+
+    found = within("x", "l", False)
+    if not cuts:
+        return found
+    cells = settle(rows.select("grp", "x", "y").distinct())
+    above = cells.join(cells.toDF("og", "ox", "oy"), (F.col("grp") == F.col("og")) & (F.col("x") < F.col("ox")) & (F.col("y") < F.col("oy"))).drop("og")
+    high = rows.select(F.col("grp").alias("og"), F.col("x").alias("hx"), F.col("y").alias("hy"), F.col("id").alias("dst"))
+    low = rows.select("grp", "x", "y", F.col("id").alias("src")).join(above, ["grp", "x", "y"])
+    all_of = low.join(high, (F.col("grp") == F.col("og")) & (F.col("ox") == F.col("hx")) & (F.col("oy") == F.col("hy"))).where("src <> dst")
+    return found.unionByName(within("y", "x", True)).unionByName(all_of.select("src", "dst"))
+
+
+def _dominated(block: np.ndarray, left: np.ndarray, right: np.ndarray, strict: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indexes i, j with left_i <= left_j (< if strict) and right_i <= right_j inside a block; i = j comes too.
+
+    Ranks of left that differ do so first in one bit: there i has 0 and j 1, and j's are a run in the order of right.
+    """
+    order = np.lexsort((left, block))
+    block, left = block[order], left[order]
+    right = np.unique(right, return_inverse=True)[1][order]
+    top = int(right.max()) + 1
+    fresh = np.concatenate([[True], block[1:] != block[:-1]])
+    rank = np.cumsum(fresh | np.concatenate([[True], left[1:] != left[:-1]]))
+    rank -= np.maximum.accumulate(np.where(fresh, rank, 0))
+    for level in range(int(strict), int(rank.max()).bit_length() + 1):
+        above = rank >> level  # level 0 holds equal ranks
+        node = np.cumsum(fresh | np.concatenate([[True], above[1:] != above[:-1]]))
+        bit = rank >> (level - 1) & 1 if level else None
+        i, j = (np.arange(len(rank)),) * 2 if bit is None else (np.flatnonzero(bit == 0), np.flatnonzero(bit == 1))
+        key = node * top + right
+        j = j[np.argsort(key[j])]
+        first, last = np.searchsorted(key[j], key[i]), np.searchsorted(key[j], (node[i] + 1) * top)
+        i, first, n = i[last > first], first[last > first], (last - first)[last > first]
+        ends = np.cumsum(n)
+        x = 0
+        while x < len(i):
+            y = max(x + 1, int(np.searchsorted(ends, (ends[x - 1] if x else 0) + BATCH, "right")))
+            starts = np.repeat(first[x:y] - (ends[x:y] - n[x:y]), n[x:y])
+            yield order[np.repeat(i[x:y], n[x:y])], order[j[starts + np.arange(ends[x] - n[x], ends[y - 1])]]
+            x = y
 
 
 def neighbours(edges: DataFrame, ids: DataFrame, direction: str = "both") -> DataFrame:

@@ -373,7 +373,7 @@ def kameda_dominance_pairs(b):
     # pre-order numbers with children left to right and right to left: dominance in both is reachability on a tree
     n = b.nation.select(F.col("n_regionkey").cast("long").alias("grp"), F.col("n_nationkey").cast("long").alias("nk"))
     c = b.customer.join(n, F.col("c_nationkey") == F.col("nk")).select("grp", "nk", "c_custkey")
-    big = 10_000_000
+    big = 10**12  # over any customer's key
     root = n.select("grp", F.col("grp").alias("id"), F.lit(-1).cast("long").alias("l"), F.lit(-1).cast("long").alias("r")).distinct()
     mid = n.select("grp", (F.col("nk") + 100).alias("id"), (F.col("nk") * big).alias("l"), ((F.lit(99) - F.col("nk")) * big).alias("r"))
     leaf = c.select("grp", (F.col("c_custkey") + 1000).alias("id"), (F.col("nk") * big + 1 + F.col("c_custkey")).alias("l"), ((F.lit(99) - F.col("nk")) * big + big - 1 - F.col("c_custkey")).alias("r"))

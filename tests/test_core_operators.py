@@ -195,3 +195,28 @@ def test_searches_from_all_nodes_share_their_steps(monkeypatch):
     got = lambda *block, most=None: [(d, *x) for d, i, j in graph._searched(n, pairs, *block, most) for x in zip(i.tolist(), j.tolist())]
     assert sorted(got(0, 90) + got(90, 150)) == sorted(expected)
     assert sorted(got(0, 150, most=2)) == sorted(x for x in expected if x[0] <= 2)
+
+
+def test_dominance_in_a_grid(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(graph, "GRID", 40)
+    monkeypatch.setattr(graph, "BATCH", 50)
+    rng = np.random.default_rng(3)
+    rows = [(int(g), int(i), int(x), int(y)) for i, (g, x, y) in enumerate(zip(rng.integers(0, 2, 300), rng.integers(0, 40, 300), rng.integers(0, 40, 300)))] + [(9, 7, 0, 0), (9, 7, 1, 1), (9, 8, 2, -1)]
+    expected = sorted((a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] != b[1] and a[2] <= b[2] and a[3] <= b[3])
+    labels = spark.createDataFrame([*rows, (None, 1, 0, 0), (1, 999, None, 0)], "grp long, id long, l long, r long")
+    assert sorted(map(tuple, graph.dominance(labels).collect())) == expected
+    texts = labels.select("grp", "id", F.format_string("%03d", "l").alias("l"), "r").where("l <> 'null'")
+    assert sorted(map(tuple, graph.dominance(texts).collect())) == expected
+    assert graph.dominance(labels.limit(0)).count() == 0
+
+
+def test_reachability_by_labels_with_large_keys(spark, tmp_path):
+    """Customers' keys beyond ten million stay below their own nation."""
+    table = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    table("nation", [(0, 0), (1, 0)], "n_nationkey int, n_regionkey int")
+    table("customer", [(5, 0), (25_000_000, 0), (6, 1)], "c_custkey long, c_nationkey int")
+    got = sorted(map(tuple, catalogue.queries()["kameda_dominance_pairs"](spark, str(tmp_path)).collect()))
+    leaves = [(5, 0), (25_000_000, 0), (6, 1)]
+    assert got == sorted([(0, 0), (0, 1), *((n + 100, k + 1000) for k, n in leaves), *((0, k + 1000) for k, n in leaves)])
