@@ -220,3 +220,24 @@ def test_reachability_by_labels_with_large_keys(spark, tmp_path):
     got = sorted(map(tuple, catalogue.queries()["kameda_dominance_pairs"](spark, str(tmp_path)).collect()))
     leaves = [(5, 0), (25_000_000, 0), (6, 1)]
     assert got == sorted([(0, 0), (0, 1), *((n + 100, k + 1000) for k, n in leaves), *((0, k + 1000) for k, n in leaves)])
+
+
+def test_a_text_that_files_share_is_parsed_once_a_task(spark, monkeypatch):
+    source = "import a.b\nfrom . import c\nclass A(....x, B):\n    def f(self):\n        self.g()\n        A().f()\n        A.f()\n"
+    code._edges.cache_clear()
+    code._imports.cache_clear()
+    parsed, parse = [], code.ast.parse
+    monkeypatch.setattr(code.ast, "parse", lambda s: parsed.append(s) or parse(s))
+    for module in ("pkg.a", "pkg.b"):
+        rows = code.edges_of("p", module, source)
+        assert [r[:4] for r in rows[:3]] == [("p", module, f"{module}.A", "defines"), ("p", f"{module}.A", "....x", "inherits"), ("p", f"{module}.A", "B", "inherits")]
+        assert {r[2] for r in rows if r[3] == "calls"} == {f"{module}.A.g", f"{module}.A", f"{module}.A.f", "<dynamic>.f"}
+        assert code.imports_of("p", module, source) == [("p", module, "a.b", None, 0, 1), ("p", module, None, "c", 1, 2)]
+    assert len(parsed) == 2
+    assert code.edges_of("p", "m", "f(:") == code.imports_of("p", "m", None) == []
+
+
+def test_files_of_one_split_are_dealt_over_tasks(spark):
+    files = spark.range(40, numPartitions=1).select(F.concat(F.lit("m"), "id", F.lit(".py")).alias("path"), F.lit("import a\nf()\n").alias("source"))
+    for found in (code.call_edges(files), code.imports(files)):
+        assert found.count() == 40 and found.select(F.spark_partition_id().alias("p")).distinct().count() > 4
