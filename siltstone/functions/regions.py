@@ -11,11 +11,21 @@ from pyspark.sql import functions as F
 FIELDS = ("file_path", "class_name", "func_name", "line_start", "line_end")
 
 
-def parse(text: Column) -> Column:
+def parts(text: Column) -> Column:
+    """The marked parts of a region's text, for parse: as a column of its own it is split once a row."""
+    return F.split(F.trim(text), "::")
+
+
+def parse(text: Column, split: Column | None = None) -> Column:
     """Text -> struct of FIELDS. Text without the file: mark is a path as a whole; blank text gives null."""
     whole = F.trim(text)
-    parts = F.split(whole, "::")
-    part = lambda mark: F.get(F.transform(F.filter(parts, lambda p: F.startswith(p, F.lit(mark))), lambda p: F.substr(p, F.lit(len(mark) + 1))), F.lit(0))
+    split = parts(text) if split is None else split
+    after = lambda mark, p: F.when(F.startswith(p, F.lit(mark)), F.substr(p, F.lit(len(mark) + 1)))
+
+    def part(mark: str) -> Column:  # the first such part; lambdas are slow and only for more parts than fields
+        later = F.get(F.filter(F.transform(F.slice(split, 5, F.size(split)), lambda p: after(mark, p)), lambda p: p.isNotNull()), F.lit(0))
+        return F.coalesce(*[after(mark, F.get(split, F.lit(k))) for k in range(4)], F.when(F.size(split) > 4, later))
+
     lines = F.split(part("lines:"), "-")
     first = F.get(lines, F.lit(0)).try_cast("long")
     last = F.coalesce(F.get(lines, F.lit(1)).try_cast("long"), first)

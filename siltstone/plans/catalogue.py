@@ -198,7 +198,8 @@ _REGION_TEXT = "'file:' || file_path || '::class:' || class_name || '::func:' ||
 
 @query(f"{_with('reg')} select l_orderkey, n, {_REGION_TEXT} as region, 'lines' as level, line_start, line_end, file_path, true as is_valid from reg")
 def region_parse_format(b):
-    parsed = b.regions.withColumn("p", r.parse(r.text(F.col("r"))))
+    split = b.regions.withColumn("t", r.text(F.col("r"))).withColumn("parts", r.parts(F.col("t")))
+    parsed = split.withColumn("p", r.parse(F.col("t"), F.col("parts")))
     return parsed.select("l_orderkey", "n", r.text(F.col("p")).alias("region"), r.level(F.col("p")).alias("level"), "p.line_start", "p.line_end", "p.file_path", r.valid(F.col("p")).alias("is_valid"))
 
 

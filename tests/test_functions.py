@@ -73,3 +73,23 @@ def test_names_and_outputs(spark):
     assert values(spark, {}, o.cosmic_outcome(F.lit("0"), F.lit("1")), o.cosmic_outcome(F.lit("timeout"), F.lit("killed")), o.cosmic_outcome(F.lit(None), F.lit(None))) == ("killed", "no_coverage", "survived")
     assert values(spark, {}, o.reported_score(F.lit(66.67), F.lit(0.8)), o.reported_score(F.lit(None).cast("double"), F.lit(0.8))) == (pytest.approx(0.6667), 0.8)
     assert values(spark, {}, o.structural_bin(F.lit(2), F.lit(26), F.lit(9), F.lit(4)), o.operator_for(F.lit("Index bad"), F.lit("x"))) == ("0-2-3-1", "guard_insertion")
+
+
+def test_marked_parts_come_from_one_split(spark):
+    """Parts in any order, repeated, beyond the fields' number and with runs of colons, as a split at :: gives them."""
+    texts = [
+        "file:a::x::y::z::lines:3-4::class:C::class:D", "file:a::func:::class:C", "file:::a::class:C", "file:a::class:C:::func:f", "file::file:b::lines:7", "class:C::file:a", "file:", " file:a::lines:x-2 ", ":::", "",
+    ]
+
+    def field(text, mark):
+        return next((p[len(mark) :] for p in text.strip().split("::") if p.startswith(mark)), None) if text.strip().startswith("file:") else None
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("parts", r.parts(F.col("t")))
+    for p in rows.select("t", r.parse(F.col("t"), F.col("parts")).alias("p"), r.parse(F.col("t")).alias("q")).collect():
+        assert p.p == p.q
+        if not p.t:
+            assert p.p is None
+            continue
+        marked = p.t.strip().startswith("file:")
+        assert (p.p.file_path, p.p.class_name, p.p.func_name) == (field(p.t, "file:") if marked else p.t.strip(), field(p.t, "class:"), field(p.t, "func:")), p.t
+    assert [(x.a, x.b) for x in rows.select(r.parse(F.col("t"), F.col("parts")).alias("p")).select(F.col("p.line_start").alias("a"), F.col("p.line_end").alias("b")).collect()] == [(3, 4), (None, None), (None, None), (None, None), (7, 7), (None, None), (None, None), (None, 2), (None, None), (None, None)]
