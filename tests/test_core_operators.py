@@ -241,3 +241,10 @@ def test_files_of_one_split_are_dealt_over_tasks(spark):
     files = spark.range(40, numPartitions=1).select(F.concat(F.lit("m"), "id", F.lit(".py")).alias("path"), F.lit("import a\nf()\n").alias("source"))
     for found in (code.call_edges(files), code.imports(files)):
         assert found.count() == 40 and found.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
+def test_small_components_are_bisected_in_tasks_of_their_own(spark):
+    pairs = [(f"{k:02d}{a}", f"{k:02d}{b}", 1.0) for k in range(30) for a, b in ("xy", "yz")]
+    e = spark.createDataFrame(pairs, "src string, dst string, confidence double")
+    got = graph.fiedler_partition(nodes_of(spark, sorted({x for p in pairs for x in p[:2]})), e).withColumn("p", F.spark_partition_id()).toPandas()
+    assert len(got) == 90 and got.groupby("component").id.count().eq(3).all() and got.p.nunique() > 4
